@@ -43,7 +43,7 @@ RULES = (
     Rule("word_chars", "n_words", least=2.0, most=14.0),
     Rule("n_symbols", "n_words", most=0.25),
     Rule("n_stop_words", "n_words", least=0.03),
-    Rule("n_dup_lines", "n_lines", most=0.3),
+    Rule("n_dup_lines", "n_lines", most=0.7),
     Rule("n_repeat_words", "n_words", most=0.4),
 )
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import pack_documents
+from .pii import count, detect_pii
 from .quality_rules import quality_rules
+from .secrets import digest, find_secrets
 from .tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +26,25 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text")).select(*columns)
+
+
+def _digests(spans: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    counts = [count(k).alias(f"n_{k}") for k in kinds]
+    base = F.filter("spans", lambda s: s["kind"].isin(list(kinds)))
+    return spans.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(find_secrets(documents(spark, sf_dir)), ("assign", "access", "hex"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(detect_pii(documents(spark, sf_dir)), ("email", "ip", "card", "phone"))
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack_documents(documents(spark, sf_dir)).select(*columns)
