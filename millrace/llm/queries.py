@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .katz import katz_scores
+from .ngram_join import near_duplicates
 from .packing import pack_documents
 from .pii import count, detect_pii
 from .quality_rules import quality_rules
@@ -48,3 +50,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
     return pack_documents(documents(spark, sf_dir)).select(*columns)
+
+
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    scores, total, _ = katz_scores(documents(spark, sf_dir), ~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
