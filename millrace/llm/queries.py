@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_knn, toxicity
 from .katz import katz_scores
 from .ngram_join import near_duplicates
 from .packing import pack_documents
@@ -62,3 +63,19 @@ def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
     scores, total, _ = katz_scores(documents(spark, sf_dir), ~held_out)
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality_knn.fit(docs, quality_knn.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    return quality_knn.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    chain = toxicity.fit(docs, quality_knn.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    return toxicity.score(docs, chain).select("doc_id", held_out.alias("held_out"), *(F.col(n).alias(f"p_{n}") for n in toxicity.NAMES), (F.col("toxic") >= 0.5).cast("int").alias("predicted"))
