@@ -166,7 +166,7 @@ def bitmap(ids: DataFrame, id: str) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, id: str, text: str, keys: DataFrame) -> DataFrame:
-    """(key, elements) of the texts whose ids are in ``keys`` (id, key)."""
+    """(key, elements) of the texts whose ids are in ``keys`` (id, key), and of a few more."""
     bits = bitmap(keys, id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +175,10 @@ def _sets(docs: DataFrame, id: str, text: str, keys: DataFrame) -> DataFrame:
             whole = whole.filter(pa.array((bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for b in slices(whole, text):
                 sets = shingle_sets(b.column(text))
-                yield pa.RecordBatch.from_arrays([b.column(id), pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "key", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "elements"])
 
     d = docs.select(id, text, F.pmod(F.xxhash64(id), F.lit(BITMAP)).alias("_h"))
-    found = d.mapInArrow(run, f"id {d.schema[id].dataType.simpleString()}, key long, elements binary").withColumnRenamed("id", id)
-    return found.join(keys, [id, "key"]).select("key", "elements").dropDuplicates(["key"])
+    return d.mapInArrow(run, "key long, elements binary")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame) -> DataFrame:
@@ -200,7 +199,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: Data
 
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
-    return with_b.mapInArrow(run, "a long, b long")
+    return with_b.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
