@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_knn, toxicity
+from . import decontam, quality_knn, token_counts, toxicity
 from .katz import katz_scores
 from .ngram_join import near_duplicates
 from .packing import pack_documents
@@ -79,3 +79,13 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity.fit(docs, quality_knn.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
     return toxicity.score(docs, chain).select("doc_id", held_out.alias("held_out"), *(F.col(n).alias(f"p_{n}") for n in toxicity.NAMES), (F.col("toxic") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(documents(spark, sf_dir))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
