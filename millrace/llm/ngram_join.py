@@ -247,3 +247,14 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     """(id, n_shingles, component_id) of every text with an id."""
     members, named = similar_classes(docs, id, text)
     return members.join(named.select("key", "component"), "key", "left").select(id, F.col("n").alias("n_shingles"), F.coalesce("component", id).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, but of each component only the rows of its least id. Rows without shingles, or with a null id, stay.
+
+    Only ids move: those to be dropped are few columns wide, and every
+    document is looked up among them.
+    """
+    members, named = similar_classes(docs, id, text)
+    drop = members.join(named.select("key", "component"), "key").where(F.col(id) != F.col("component")).select(id)
+    return docs.join(stored(drop.distinct(), "copies"), id, "left_anti").select(*docs.columns)
