@@ -169,10 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     found = d.mapInArrow(run, f"id {d.schema[id].dataType.simpleString()}, words binary").dropDuplicates(["id"]).collect()
     rows = sorted((r["id"], np.frombuffer(bytes(r["words"]), np.uint64)) for r in sorted(found, key=lambda r: r["id"]))
     everything = np.concatenate([w for _, w in rows]) if rows else np.zeros(0, np.uint64)
-    toxic = np.array([picked[i] for i, _ in rows])
+    toxic = np.array([picked[i] for i, _ in rows], np.int64)
     chain = Chain(telling(everything, np.repeat(toxic, [len(w) for _, w in rows]), toxic))
-    weak = [np.array([bool(np.isin(w, h).any()) for _, w in rows]) & (toxic > 0) for h in map(_hashes, CATEGORIES.values())]
-    folds = np.array([xxhash.xxh3_64_intdigest(str(i)) % FOLDS for i, _ in rows])
+    weak = [np.array([bool(np.isin(w, h).any()) for _, w in rows], bool) & (toxic > 0) for h in map(_hashes, CATEGORIES.values())]
+    folds = np.array([xxhash.xxh3_64_intdigest(str(i)) % FOLDS for i, _ in rows], np.int64)
     x = chain.rows(everything, np.concatenate([[0], np.cumsum([len(w) for _, w in rows])]).astype(np.int64))
     return chain.fit(x, np.column_stack([*weak, toxic]).astype(int), folds)
 
