@@ -16,7 +16,7 @@ from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, DecimalType, DoubleType, IntegerType, LongType, DateType, StringType, StructType, TimestampNTZType
 
 from ..operators import clustering, profile, transforms
 from .env import constant, substitute
@@ -118,7 +118,7 @@ def schema_of_class(classes: dict[str, dict[str, Any]], name: str, seen: tuple[s
     """The columns of a class and of all its ancestors, ancestors first, each once."""
     if name in seen:
         raise ValueError(f"class is its own ancestor: {name}")
-    types = {"text": "string", "resource": "string", "date": "date", "datetime": "timestamp_ntz", "double": "double", "int": "bigint", "long": "bigint", "uint": "bigint", "ulong": "decimal(20,0)", "bool": "int"}
+    types: dict[str, DataType] = {"text": StringType(), "resource": StringType(), "date": DateType(), "datetime": TimestampNTZType(), "double": DoubleType(), "int": LongType(), "long": LongType(), "uint": LongType(), "ulong": DecimalType(20, 0), "bool": IntegerType()}
     out = StructType()
     for base in classes[name].get("base_classes", []):
         for f in schema_of_class(classes, base, (*seen, name)) if base in classes else []:
@@ -128,5 +128,5 @@ def schema_of_class(classes: dict[str, dict[str, Any]], name: str, seen: tuple[s
         array = kind.startswith("array of ")
         t = types[kind.removeprefix("array of ")]
         if column not in out.names:
-            out = out.add(column, f"array<{t}>" if array else t)
+            out = out.add(column, ArrayType(t) if array else t)
     return out

@@ -86,12 +86,15 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, columns: list[
         reader = reader.option("quote", "")
     if cr_line_ends(text):
         reader = reader.option("lineSep", "\r")
-    rows = reader.csv(path)
+    elif encoding.upper() not in ("UTF-8", "ISO-8859-1", "US-ASCII"):
+        reader = reader.option("multiLine", True)  # lines can't be cut by bytes in these
+    # whether a row is good depends on all of it: no pruning in the parser, and
+    # a condition that keeps another column beside the corrupt record
+    rows = reader.option("columnPruning", False).csv(path).where(F.coalesce(F.length(F.col(f"`{names[0]}`")), F.lit(0)) >= 0)
     clean = [F.nullif(F.trim(F.col(f"`{n}`")) if trim else F.col(f"`{n}`"), F.lit("")).alias(n) for n in names]
     good = rows.where(F.col(BAD).isNull()).select(*clean)
-    # Spark prunes a corrupt-record column that is all a query reads: keep one other
-    bad = rows.where(F.col(BAD).isNotNull()).select(BAD, F.col(f"`{names[0]}`").alias("first_field")) if keep_bad else rows.limit(0).select(BAD)
-    return good, bad
+    bad = rows.where(F.col(BAD).isNotNull()).select(BAD)
+    return good, bad if keep_bad else bad.limit(0)
 
 
 @dataclass(frozen=True)
