@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import cleansing, dates, hashing, keys
+from .functions import cleansing, dates, keys, rule_ops
 from .operators import anonymize, clustering, profile, rules, transforms
 from .plans import pipeline
 from .plans import queries as structured
@@ -315,6 +315,19 @@ def domain_key_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select("c_custkey", keys.domain_key(["c_name"], "sha1").alias("v5"), keys.domain_key(["c_name"], "md5").alias("v3"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END AS ne, CASE WHEN o_totalprice > 1000 AND o_orderkey > 0 THEN 1 ELSE 0 END AS both, CASE WHEN o_orderkey = 0 THEN 'NaN'::DOUBLE ELSE trunc(o_custkey / o_orderkey) END AS quotient,
+CASE WHEN contains(o_orderpriority, 'HIGH') THEN 1 ELSE 0 END AS high, o_orderpriority[3:] AS piece, o_orderpriority[1:-3] AS short, o_orderpriority[1] AS first, translate(o_orderpriority, '-', '_') AS changed, strlen(o_orderpriority)::INTEGER AS bytes,
+least(o_custkey, o_orderkey) AS low, CASE WHEN o_custkey <= o_orderkey THEN 'customer' ELSE 'order' END AS low_head, (o_custkey + o_orderkey)::DOUBLE AS total, epoch(o_orderdate)::BIGINT AS seconds FROM orders""")
+def rule_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, u, c = rule_ops.BINARY, rule_ops.UNARY, F.col
+    values, names = F.array("o_custkey", "o_orderkey"), F.array(F.lit("customer"), F.lit("order"))
+    return _t(spark, sf_dir, "orders").select(
+        "o_orderkey", b["!="](c("o_orderstatus"), F.lit("F")).alias("ne"), b["and"](b[">"](c("o_totalprice"), F.lit(1000)), c("o_orderkey")).alias("both"), b["/"](c("o_custkey"), c("o_orderkey"), True).alias("quotient"),
+        b["contains"](c("o_orderpriority"), F.lit("HIGH")).alias("high"), b["substring_of"](c("o_orderpriority"), 2, 99).alias("piece"), b["substring_of"](c("o_orderpriority"), 0, -2).alias("short"), b["char_at"](c("o_orderpriority"), F.lit(0)).alias("first"),
+        b["replace_char_of"](c("o_orderpriority"), "-", "_").alias("changed"), u["length_of"](c("o_orderpriority")).alias("bytes"), b["min_of"](values).alias("low"), b["min_head_of"](names, values).alias("low_head"), b["sum_values"](values).alias("total"), u["to_timestamp"](c("o_orderdate")).alias("seconds"),
+    )
+
+
 # --- profiling, anonymising, clustering ------------------------------------------------
 
 

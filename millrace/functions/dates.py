@@ -70,4 +70,5 @@ def age(born: Column, at: Column) -> Column:
 
 
 def age_months(born: Column, at: Column) -> Column:
-    return distance_months(born, at) - F.when(F.dayofmonth(at) < F.dayofmonth(born), 1).otherwise(0)
+    """Whole calendar months; days don't count."""
+    return distance_months(born, at)

@@ -81,3 +81,15 @@ def test_keys(spark):
     df = spark.createDataFrame([("Ann B", "1969-01-01"), (None, None)], "name string, dob string")
     got = [r[0] for r in df.select(keys.composite_key(["remove_mi(name)", "format_date(dob)"])).collect()]
     assert got == ["ANN19690101", None]
+
+
+def test_rule_operators_of_nulls_and_arrays(spark):
+    from millrace.functions import rule_ops
+
+    df = spark.createDataFrame([(None, [3, 1, 1], ["a", "b", "c"], "x-y"), (2, None, None, None)], "n int, v array<int>, o array<string>, s string")
+    b, u, c = rule_ops.BINARY, rule_ops.UNARY, F.col
+    got = df.select(b["!="](c("n"), F.lit(2)), b["or"](c("n"), F.lit(1)), u["not"](c("n")), b["max_head_of"](c("o"), c("v")), b["min_head_of"](c("o"), c("v")), b["size_of"](c("v")), b["exist_not"](c("v")), b["range"](F.lit(4), F.lit(3)), b["sum_values"](c("v"), True)).collect()
+    assert tuple(got[0]) == (1, 1, 0, "a", "b", 3, 0, [4, 5, 6], 5) and tuple(got[1]) == (0, 1, 0, None, None, 0, 1, [4, 5, 6], None)
+    table = spark.createDataFrame([("2", "p"), ("2", "q")], "k string, w string")
+    assert [len(r["found"] or []) for r in rule_ops.multi_lookup(df, table, ["n"], ["k"]).orderBy("n").collect()] == [0, 2]
+    assert rule_ops.lookup_rand(df, table, seed=1).where("found IS NULL").count() == 0
