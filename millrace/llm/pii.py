@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from .bilstm_crf import Tagger, encode
 from .secrets import SPANS, spans_array
+from .tables import stored
 from .textkit import buffers, slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -152,7 +153,8 @@ def training_windows(docs: DataFrame, text: str = "text", most: int = TRAIN_WIND
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["hash", "x", "y"])
 
-    return docs.select(text).mapInArrow(run, "hash long, x binary, y binary").orderBy("hash", "x", "y").limit(most)
+    # stored first: what reaches the driver then grows with the stored table's few partitions, not with the tasks
+    return stored(docs.select(text).mapInArrow(run, "hash long, x binary, y binary"), "windows").orderBy("hash", "x", "y").limit(most)
 
 
 def fit_tagger(docs: DataFrame, text: str = "text", most: int = TRAIN_WINDOWS, epochs: int = 8) -> Tagger | None:
