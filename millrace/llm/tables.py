@@ -1,43 +1,12 @@
-"""Intermediate tables in the folder that all executors share.
-
-Lineage is cut by writing Parquet under ``spark.checkpoint.dir``: the files
-outlive any executor, so a lost one costs a re-read, never a re-run.
-"""
+"""Tables of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-#: Spark then removes a write's shuffle files when the write has ended.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="spark-millrace-"))
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+from ..storage import shared_dir, stored
+
+__all__ = ["documents", "partitions", "shared_dir", "stored"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
