@@ -55,7 +55,7 @@ def test_base_spans_equal_brute_force(spark, docs, odd_docs, name):
 
 def test_digest(spark, docs):
     own = secrets.find_secrets(docs).select("doc_id", secrets.digest(F.col("spans")).alias("s"), F.sha2(secrets.digest(F.col("spans")), 256).alias("h")).where("doc_id = 0").first()
-    assert own["s"] == "assign:2:52,hex:11:51" and own["h"] == hashlib.sha256(own["s"].encode()).hexdigest()
+    assert own["s"] == "assign:2:51,hex:11:51" and own["h"] == hashlib.sha256(own["s"].encode()).hexdigest()
 
 
 def test_entropy_spans_and_allow_list():
@@ -71,7 +71,7 @@ def test_redaction_keeps_columns_and_other_rows(spark, docs):
 
 def test_tagger_learns_and_reconciles(spark, docs):
     many = spark.createDataFrame([(k, f"aa bb {'cc ' * (k % 9)}mail x{k}@mail{k % 7}.example.com and ip 10.{k % 250}.3.4 word {k % 3} more") for k in range(120)], "doc_id long, text string")
-    tagger = pii.fit_tagger(many, epochs=30)
+    tagger = pii.fit_tagger(many, epochs=120)  # equal windows count once, so there are few steps in each
     own = "zz yy mail q77@mail5.example.com and ip 10.9.3.4 word"
     found = pii.model_spans(tagger, [own])[0]
     assert ("email", own.index("q77"), own.index(" and")) in found
