@@ -11,11 +11,12 @@ similarity of their sets is 0.8 or more.
    slice of the corpus come last, ``FREQUENT`` of them at most; the order only
    saves work, any order gives the same links). Only the first
    ``n - ceil(0.8 n) + 1`` places are indexed: two linked sets share one there.
-3. Index lists. Within a list every set is first compared with one pivot; as
-   all sets near a pivot then carry its component, the answers of a set are
+3. Index lists. Within a list every set is first compared with one pivot, the
+   set whose places are shared most (the original, in a group of near copies).
+   As all sets near a pivot then carry its component, the answers of a set are
    taken from the answers of the similar set: pairs inside a component
    need no comparison, and a group of thousands of near copies costs one
-   comparison each.
+   comparison each. A second round takes a pivot outside the first's component.
 4. What is left are lists that hold several components. They are joined in
    blocks by size band, and places are used to skip: with ``r`` shingles left
    from its place on, a set reaches only partners of up to ``2.25 r - n``
@@ -49,6 +50,8 @@ from .textkit import mix, slices, word_hashes
 WORDS = 5
 #: Bounds: shingles that are ordered by frequency; bits of the text filter.
 FREQUENT, BITMAP = 100_000, 1 << 23
+#: Rounds of comparison with pivots.
+PIVOTS = 2
 #: A shingle that so many texts of a slice share counts as frequent there.
 _SHARED, _SLICE = 4, 2_000_000
 _MULTIPLIERS = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -202,6 +205,33 @@ def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: Data
     return with_b.mapInArrow(run, "a long, b long").distinct()
 
 
+def _fits(a: str, b: str) -> str:
+    """Sizes within reach, and enough shingles left from both places on."""
+    return f"5 * least({a}n, {b}n) >= 4 * greatest({a}n, {b}n) AND 9 * least({a}n - {a}place, {b}n - {b}place) >= 4 * ({a}n + {b}n)"
+
+
+def _pivot_pairs(rows: DataFrame, k: int) -> DataFrame:
+    """Each list's sets with its pivot: the heaviest set, later the heaviest outside the first pivot's component."""
+    lists = W.partitionBy("token")
+    own = F.struct("weight", "key", "c", "n", "place")
+    rows = rows.withColumn("p", F.max(own).over(lists))
+    if k:
+        rows = rows.withColumn("p", F.max(F.when(F.col("c") != F.col("p.c"), own)).over(lists))
+    pairs = rows.where(f"c <> p.c AND {_fits('', 'p.')}")
+    return pairs.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct()
+
+
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of sets in one list and different components that can be similar, by blocks of sizes."""
+    band = lambda n: F.floor(F.log(n) / F.lit(float(np.log(1.25))))
+    rows = rows.dropDuplicates(["token", "key"])
+    reach = F.least(F.col("n") * 1.25, (F.col("n") - F.col("place")) * 2.25 - F.col("n"))
+    probes = rows.where(reach >= F.col("n")).select("token", F.explode(F.sequence(band(F.col("n")), band(reach))).alias("band"), *(F.col(c).alias(f"a_{c}") for c in ("key", "n", "place", "c")))
+    blocks = rows.select("token", band(F.col("n")).alias("band"), *(F.col(c).alias(f"b_{c}") for c in ("key", "n", "place", "c")))
+    pairs = probes.join(blocks, ["token", "band"]).where(f"(a_n < b_n OR a_n = b_n AND a_key < b_key) AND a_c <> b_c AND {_fits('a_', 'b_')}")
+    return pairs.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
+
+
 def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(id, n, key) of every text, and (key, first, component) of every class of equal sets: its least id, and the least id that its links reach."""
     scan = stored(_scan(docs, id, text), "shingles")
@@ -212,30 +242,36 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     frequent, rank = often[order], (len(often) - order).astype(np.int64)
     classes = stored(members.groupBy("key").agg(F.min("id").alias("first")), "classes")
 
-    # Lists of two or more sets, each row with the list's least set as its pivot.
+    # Index lists of two or more sets, each row with its set's weight.
     lists = W.partitionBy("token")
-    index = _index(docs, text, frequent, rank).select("*", F.min(F.struct("key", "n", "place")).over(lists).alias("p"), F.max("key").over(lists).alias("most"))
-    index = stored(index.where("p.key <> most").drop("most"), "lists")
-    fits = "5 * least(n, p.n) >= 4 * greatest(n, p.n) AND 9 * least(n - place, p.n - p.place) >= 4 * (n + p.n)"
-    first = stored(index.where(f"key <> p.key AND {fits}").select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct(), "pivot-pairs")
-    links = stored(_linked(first, docs, id, text, classes), "links")
-    found = stored(components(links), "components")
-
-    # Lists that hold several components, in blocks by size band.
-    component = F.coalesce("component", "key")
-    rows = index.select("token", "key", "n", "place").dropDuplicates(["token", "key"]).join(found.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", "place", component.alias("c"))
-    rows = rows.select("*", F.min("c").over(lists).alias("c0"), F.max("c").over(lists).alias("c1"))
-    rows = stored(rows.where("c0 <> c1").drop("c0", "c1"), "mixed-lists")
-    band = lambda n: F.floor(F.log(n) / F.lit(float(np.log(1.25))))
-    reach = F.least(F.col("n") * 1.25, (F.col("n") - F.col("place")) * 2.25 - F.col("n"))
-    probes = rows.where(reach >= F.col("n")).select("token", F.explode(F.sequence(band(F.col("n")), band(reach))).alias("band"), *(F.col(c).alias(f"a_{c}") for c in ("key", "n", "place", "c")))
-    blocks = rows.select("token", band(F.col("n")).alias("band"), *(F.col(c).alias(f"b_{c}") for c in ("key", "n", "place", "c")))
-    pairs = probes.join(blocks, ["token", "band"]).where("(a_n < b_n OR a_n = b_n AND a_key < b_key) AND a_c <> b_c AND 4 * b_n <= 5 * a_n AND 9 * least(a_n - a_place, b_n - b_place) >= 4 * (a_n + b_n)")
-    pairs = pairs.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
-    pairs = stored(pairs.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "block-pairs")
-    if not pairs.isEmpty():
+    index = _index(docs, text, frequent, rank).select("*", F.min("key").over(lists).alias("k0"), F.max("key").over(lists).alias("k1"), F.count(F.lit(1)).over(lists).alias("many"))
+    index = stored(index.where("k0 <> k1").drop("k0", "k1"), "lists")
+    weight = stored(index.groupBy("key").agg((F.sum("many") / F.max(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)).alias("weight")), "weights")
+    rows = index.drop("many").join(weight, "key").withColumn("c", F.col("key"))
+
+    # Rounds of comparison with one pivot for each list, then the rest in blocks.
+    done: DataFrame | None = None
+    links: DataFrame | None = None
+    found: DataFrame | None = None
+    for k in range(PIVOTS + 1):
+        if found is not None:
+            c = F.coalesce("component", "key").alias("c")
+            rows = rows.drop("c").join(found.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", "place", "weight", c)
+            rows = rows.select("*", F.min("c").over(lists).alias("c0"), F.max("c").over(lists).alias("c1"))
+            rows = stored(rows.where("c0 <> c1").drop("c0", "c1"), "mixed-lists")
+        pairs = _pivot_pairs(rows, k) if k < PIVOTS else _block_pairs(rows)
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        done = pairs if done is None else done.union(pairs)
         more = stored(_linked(pairs, docs, id, text, classes), "links")
-        found = stored(components(links.unionByName(more)), "components")
+        links = more if links is None else links.union(more)
+        found = stored(components(links), "components")
+    component = F.coalesce("component", "key")
+    if found is None:
+        found = docs.sparkSession.createDataFrame([], "node long, component long")
 
     # Each class's component, named by its least id.
     named = classes.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "first", component.alias("c"))
