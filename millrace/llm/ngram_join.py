@@ -21,7 +21,11 @@ similarity of their sets is 0.8 or more.
    blocks by size band, and places are used to skip: with ``r`` shingles left
    from its place on, a set reaches only partners of up to ``2.25 r - n``
    shingles, so late places skip whole blocks and most are never probed.
-5. Every candidate pair is compared on the full sets.
+5. Every candidate pair is first compared on sketches: ``SKETCH`` bits, each
+   the parity of the number of elements that hash to it. Sets of a and b
+   elements that are linked differ in (a + b) / 9 elements at most, and
+   sketches differ in no more bits than sets in elements; so the rest can go.
+   Those that stay are compared on the full sets.
 
 Nothing is capped: lists are joined by Spark, which splits hot ones. Sets are
 built again for the texts of candidate pairs only, found by a bitmap of
@@ -50,6 +54,8 @@ from .textkit import mix, slices, word_hashes
 WORDS = 5
 #: Bounds: shingles that are ordered by frequency; bits of the text filter.
 FREQUENT, BITMAP = 100_000, 1 << 23
+#: Bits of a set's sketch.
+SKETCH = 2048
 #: Rounds of comparison with pivots.
 PIVOTS = 2
 #: A shingle that so many texts of a slice share counts as frequent there.
@@ -86,6 +92,12 @@ def set_key(own: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(own.tobytes()) - (1 << 63)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """The parity of the number of elements at each of ``SKETCH`` bits."""
+    at = np.bincount((own >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(at.astype(np.uint8)).tobytes()
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -97,19 +109,21 @@ def _scan(docs: DataFrame, id: str, text: str) -> DataFrame:
         kind = None
         held: list[np.ndarray] = []
 
+        names = ["id", "n", "key", "sketch"]
+
         def recurring() -> pa.RecordBatch:
             s, n = np.unique(np.concatenate(held), return_counts=True)
             s, n = s[n >= _SHARED], n[n >= _SHARED]
             top = np.argsort(-n, kind="stable")[:FREQUENT]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(top), kind), pa.array(-n[top].astype(np.int64)), pa.array(_signed(s[top]))], ["id", "n", "key"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(top), kind), pa.array(-n[top].astype(np.int64)), pa.array(_signed(s[top])), pa.nulls(len(top), pa.binary())], names)
 
         for whole in batches:
             kind = whole.column(id).type
             for b in slices(whole, text):
                 sets = shingle_sets(b.column(text))
                 keys = pa.array([set_key(x) if len(x) else None for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(id), pa.array([len(x) for x in sets], pa.int64()), keys], ["id", "n", "key"])
+                yield pa.RecordBatch.from_arrays([b.column(id), pa.array([len(x) for x in sets], pa.int64()), keys, pa.array([sketch(x) if len(x) else None for x in sets], pa.binary())], names)
                 held += sets
                 if sum(map(len, held)) >= _SLICE:
                     yield recurring()
@@ -117,7 +131,7 @@ def _scan(docs: DataFrame, id: str, text: str) -> DataFrame:
             yield recurring()
 
     d = docs.select(id, text)
-    return d.mapInArrow(run, f"id {d.schema[id].dataType.simpleString()}, n long, key long")
+    return d.mapInArrow(run, f"id {d.schema[id].dataType.simpleString()}, n long, key long, sketch binary")
 
 
 def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -184,6 +198,21 @@ def _sets(docs: DataFrame, id: str, text: str, keys: DataFrame) -> DataFrame:
     return d.mapInArrow(run, "key long, elements binary")
 
 
+def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose sketches don't differ in too many bits for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), np.uint8).reshape(len(b), SKETCH // 8) for c in ("x", "y"))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            keep = 9 * apart <= b.column("na").to_numpy() + b.column("nb").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    for own, other, n in (("a", "x", "na"), ("b", "y", "nb")):
+        pairs = pairs.join(classes.select(F.col("key").alias(own), F.col("sketch").alias(other), F.col("n").alias(n)), own)
+    return pairs.mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b: keys) whose sets' Jaccard similarity is 0.8 or more."""
     own = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
@@ -240,7 +269,7 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     often = np.array([r["key"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(often)
     frequent, rank = often[order], (len(often) - order).astype(np.int64)
-    classes = stored(members.groupBy("key").agg(F.min("id").alias("first")), "classes")
+    classes = stored(members.groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     # Index lists of two or more sets, each row with its set's weight.
     lists = W.partitionBy("token")
@@ -266,7 +295,8 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         if pairs.isEmpty():
             continue
         done = pairs if done is None else done.union(pairs)
-        more = stored(_linked(pairs, docs, id, text, classes), "links")
+        likely = stored(_promising(pairs, classes), "likely-pairs")
+        more = stored(_linked(likely, docs, id, text, classes), "links")
         links = more if links is None else links.union(more)
         found = stored(components(links), "components")
     component = F.coalesce("component", "key")
@@ -276,7 +306,7 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     # Each class's component, named by its least id.
     named = classes.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "first", component.alias("c"))
     least = stored(named.groupBy("c").agg(F.min("first").alias("component")), "least")
-    return scan.where("n >= 0").withColumnRenamed("id", id), stored(named.join(least, "c").select("key", "first", "component"), "named")
+    return scan.where("n >= 0").drop("sketch").withColumnRenamed("id", id), stored(named.join(least, "c").select("key", "first", "component"), "named")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
