@@ -77,6 +77,16 @@ def test_decontamination_finds_every_exact_copy(spark):
     assert want and got >= want
 
 
+def test_decontamination_finds_copies_of_thousands_of_items(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(20000)]
+    text = lambda n: " ".join(vocabulary[int(20000 * rng.random() ** 3)] for _ in range(n))
+    items = [(k, text(rng.choice([6, 10, 20, 40, 80]) if k % 100 else 600)) for k in range(2500)]
+    docs = [(k, f"{text(rng.randint(0, 60))} {items[k][1]} {text(40)}") for k in range(0, 2500, 5)] + [(k, text(100)) for k in range(5000, 5200)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()} == {(k, k) for k in range(0, 2500, 5)}
+
+
 def test_longest_common_subsequence():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 3, 9, 4, 2, 5])
     x, y = decontam.common_subsequence(a, b)
