@@ -4,8 +4,10 @@ The patterns find assignments, access keys and long hex strings. The method
 adds ``entropy`` spans: every maximal run of 20 or more key characters is a
 candidate; a window slides over it and the sum of ``c * log2(c)`` over its
 character counts is kept up to date as one character enters and one leaves.
-Windows above the threshold of the candidate's class are joined to a span,
-unless the candidate is on the allow list or touches a pattern's span.
+Windows above the threshold of the candidate's class are joined to a span; hex
+digits within a candidate of another class (``DB_KEY=9F86...``) are taken apart
+by their own. A candidate or hex part on the allow list gives none, and a span
+that touches a pattern's isn't added.
 
 Narrow: one pass, no shuffle, no state between rows; a long text costs time in
 proportion to its length. Null and empty texts have no spans. Repeated rows
@@ -50,6 +52,7 @@ def _table(pattern: bytes) -> np.ndarray:
     return np.array([re.fullmatch(pattern, bytes([k])) is None for k in range(256)])
 
 
+_HEX, _LETTERS = re.compile(r"[0-9a-fA-F]+"), "abcdefABCDEF"
 _NOT_HEX, _NOT_KEY = _table(rb"[0-9a-f]"), _table(rb"[A-Za-z0-9+/_=-]")
 
 
@@ -57,12 +60,8 @@ def char_class(s: str) -> str:
     return "hex" if re.fullmatch(r"[0-9a-fA-F]+", s) else "mixed"
 
 
-def random_spans(s: str, window: int = WINDOW, bits: dict[str, float] | None = None) -> list[tuple[int, int]]:
-    """Joined windows of ``s`` whose entropy is at least its class's threshold."""
-    n = len(s)
-    if n < window or any(p.fullmatch(s) for p in ALLOW):
-        return []
-    least = (bits or BITS)[char_class(s)]
+def _over(s: str, window: int, least: float) -> list[tuple[int, int]]:
+    """Joined windows of ``s`` whose entropy is at least ``least``."""
     log = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     counts: dict[str, int] = {}
     total, found = 0.0, []
@@ -82,6 +81,42 @@ def random_spans(s: str, window: int = WINDOW, bits: dict[str, float] | None = N
     return found
 
 
+def _allowed(s: str) -> bool:
+    return any(p.fullmatch(s) for p in ALLOW)
+
+
+def class_spans(s: str, window: int = WINDOW, bits: dict[str, float] | None = None) -> list[tuple[int, int]]:
+    """Windows of ``s`` over the threshold of its class, and windows of its longest runs of hex digits over theirs; the two may overlap."""
+    if len(s) < window or _allowed(s):
+        return []
+    bits, own = bits or BITS, char_class(s)
+    found = _over(s, window, bits[own])
+    for m in _HEX.finditer(s) if own != "hex" else ():
+        a, b = m.span()
+        # Letters that may belong to a word beside the digits don't make a number a secret.
+        core = m[0].lstrip(_LETTERS) if a and s[a - 1].isalpha() else m[0]
+        core = core.rstrip(_LETTERS) if b < len(s) and s[b].isalpha() else core
+        if b - a >= window and not _allowed(m[0]) and not _allowed(core):
+            found += [(a + x, a + y) for x, y in _over(m[0], window, bits["hex"])]
+    return found
+
+
+def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans, sorted, those that overlap or meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def random_spans(s: str, window: int = WINDOW, bits: dict[str, float] | None = None) -> list[tuple[int, int]]:
+    """``class_spans``, joined."""
+    return joined(class_spans(s, window, bits))
+
+
 def scan(text: str, hexes: list[tuple[int, int]], candidates: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """All spans of a text, sorted; ``hexes`` and ``candidates`` are its long runs of those classes."""
     out = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -89,9 +124,8 @@ def scan(text: str, hexes: list[tuple[int, int]], candidates: list[tuple[int, in
     out += [("hex", a, b) for a, b in hexes]
     taken = sorted((a, b) for _, a, b in out)
     for a, b in candidates:
-        for x, y in random_spans(text[a:b]):
-            if not any(p < a + y and q > a + x for p, q in taken):
-                out.append(("entropy", a + x, a + y))
+        found = [(a + x, a + y) for x, y in class_spans(text[a:b])]
+        out += [("entropy", x, y) for x, y in joined([s for s in found if not any(p < s[1] and q > s[0] for p, q in taken)])]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

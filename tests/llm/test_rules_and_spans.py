@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,33 @@ def test_entropy_spans_and_allow_list():
         assert secrets.random_spans(plain) == []
 
 
+def test_hex_joined_to_a_name_is_found_as_if_alone(spark):
+    rng = random.Random(6)
+    names = ("DB_KEY=", "x-", "SECRET_KEY=", "cfg/KEY", "API-V2+")
+    rows, places = [], []
+    for n in (20, 23, 32, 40, 64):
+        for digits in ("0123456789ABCDEF", "0123456789abcdef"):
+            for name in names:
+                for _ in range(20):
+                    own = "".join(rng.choices(digits, k=n))
+                    rows.append((len(rows), f"see {name}{own} and"))
+                    places.append((4 + len(name), own))
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (at, own) in enumerate(places):
+        alone = secrets.random_spans(own)
+        covered = {i for s in got[k] for i in range(s["start"], s["end"])}
+        assert all(at + i in covered for a, b in alone for i in range(a, b)), rows[k]
+    assert sum(bool(s) for s in got.values()) > 0.96 * len(rows)
+
+
+def test_joined_names_and_numbers_stay_plain():
+    for plain in ("x=12345678901234567890", "me12345678901234567890", "id=550e8400-e29b-41d4-a716-446655440000", "x=abababababababababababab", "abcdef/facade_decade-beaded"):
+        assert secrets.random_spans(plain) == [], plain
+    key = f"AKIA{'Q7' * 9}/"
+    own = "9F86D081884C7D659A2F"
+    assert ("entropy", len(key), len(key) + 20) in secrets.scan_batch(pa.array([key + own]))[0]
+
+
 def test_redaction_keeps_columns_and_other_rows(spark, docs):
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert out[0] == "a [SECRET]\" end" and out[5] == TEXTS[5] and out[10] is None
