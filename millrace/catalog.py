@@ -247,6 +247,13 @@ def splitter_ext_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.splitter(t, "l_returnflag", rows_each=1000, order="seq").select("l_orderkey", "l_linenumber", "split_key")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_returnflag || '|' || ((row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1) // 1000)::VARCHAR AS split_key FROM lineitem")
+def splitter_ext_count_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; rows that are equal in the order differ in no column of the result."""
+    t = _t(spark, sf_dir, "lineitem").withColumn("seq", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return transforms.splitter(t, "l_returnflag", rows_each=1000, order="seq").select("l_orderkey", "l_linenumber", "split_key")
+
+
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) WHERE k % 10 = 0")
 def sampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.sample_rows(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 10)

@@ -43,3 +43,8 @@ def test_entry_works_without_the_corpus_operators(spark, monkeypatch):
 
     monkeypatch.setattr(entry, "_llm", lambda: ({}, {}))
     assert set(entry.queries()) == set(catalog.QUERIES) and entry.entry(spark).count() > 0
+
+
+def test_the_splitter_cuts_the_whole_table(spark, sf):
+    rows = catalog.QUERIES["splitter_ext_count_all"](spark, sf).groupBy("split_key").count().collect()
+    assert sum(r["count"] for r in rows) == spark.read.parquet(f"{sf}/lineitem.parquet").count() and max(r["count"] for r in rows) == 1000
