@@ -6,7 +6,8 @@ documents there are, and its steps work on runs of equally filled sequences:
 
 1. full pieces stand alone;
 2. large lengths are sorted and cut into groups of equal cardinality, each
-   rounded up to its largest;
+   rounded up to its largest (several numbers of groups are tried, none too,
+   which is best fit alone, and the plan of fewest sequences is kept);
 3. configurations of the few rounded sizes are optimised by column generation
    (revised simplex; a knapsack prices new configurations);
 4. actual pieces take the places of their group, so a run is split wherever
@@ -14,7 +15,8 @@ documents there are, and its steps work on runs of equally filled sequences:
 5. pieces that whole configurations left over and small ones are put, longest
    first, where they fit best.
 
-The plan is a table of runs bounded by ``capacity`` and the number of groups.
+The plan is a table of runs bounded by ``capacity`` and the number of groups,
+and takes seconds on the driver whatever the number of documents.
 Each piece finds its run by its length and its rank among equal lengths; ranks
 come from a window over (length, salt) and offsets of the salts, so a length
 that a third of all pieces share is spread over many tasks.
@@ -40,7 +42,9 @@ from .tables import partitions, stored
 from .word_bpe import WordBpe
 
 CAPACITY = 4096
-GROUPS = 16
+#: Numbers of groups that plans are made with, until one is as near the lower bound as ``NEAR``.
+GROUPS = (16, 64, 160)
+NEAR = 1.0005
 #: Lengths up to this part of the capacity are small.
 SMALL = 4
 
@@ -176,13 +180,30 @@ class _Plan:
                 self.leave(room, sequence + whole, size - whole)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> tuple[np.ndarray, int]:
-    """Rows (length, first rank, first sequence, pieces a sequence, offset) sorted by length and rank, and the number of sequences."""
+def least_sequences(histogram: dict[int, int], capacity: int) -> int:
+    """No plan needs fewer: by volume, and as two lengths of over half the capacity never share."""
+    return max(-(-sum(s * c for s, c in histogram.items()) // capacity), sum(c for s, c in histogram.items() if 2 * s > capacity))
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, small: int = SMALL) -> tuple[np.ndarray, int]:
+    """The plan of fewest sequences, the first of equal ones: its rows (length, first rank, first sequence, pieces a sequence, offset) sorted by length and rank, and the number of sequences."""
+    best: _Plan | None = None
+    for g in (0, *groups):
+        own = grouped_plan(histogram, capacity, g, small)
+        if best is None or own.sequences < best.sequences:
+            best = own
+        if g and best.sequences <= NEAR * least_sequences(histogram, capacity):
+            break
+    return np.array(sorted(best.rows), np.int64).reshape(-1, 5), best.sequences
+
+
+def grouped_plan(histogram: dict[int, int], capacity: int, groups: int, small: int) -> _Plan:
+    """One plan; without groups all lengths are put where they fit best."""
     out = _Plan(capacity)
     left = {int(s): int(c) for s, c in histogram.items() if c}
     if full := left.pop(capacity, 0):
         out.put(capacity, full, out.open(full), 1, 0)
-    large = sorted((s for s in left if s * small > capacity), reverse=True)
+    large = sorted((s for s in left if s * small > capacity), reverse=True) if groups else []
     total = sum(left[s] for s in large)
     if total:
         # Groups of equal cardinality over the lengths in descending order: (length, count) runs.
@@ -235,8 +256,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
                 done += step
     for s in sorted((s for s, c in left.items() if c), reverse=True):
         out.best_fit(s, left[s])
-    rows = np.array(sorted(out.rows), np.int64).reshape(-1, 5)
-    return rows, out.sequences
+    return out
 
 
 def place(rows: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +267,7 @@ def place(rows: np.ndarray, length: np.ndarray, rank: np.ndarray) -> tuple[np.nd
     return own[:, 2] + k // own[:, 3], own[:, 4] + (k % own[:, 3]) * length
 
 
-def pack(pieces: DataFrame, id: str = "doc_id", capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
+def pack(pieces: DataFrame, id: str = "doc_id", capacity: int = CAPACITY, groups: tuple[int, ...] = GROUPS, small: int = SMALL) -> DataFrame:
     """``pieces`` (id, piece, length and more) with sequence_id and offset. ``pieces`` is read several times: pass a stored table."""
     spark = pieces.sparkSession
     salts = max(64, partitions(spark))

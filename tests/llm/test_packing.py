@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 
@@ -38,6 +39,32 @@ def test_a_hot_length():
     assert n <= 1.01 * (128 * 10**9 / 4096) + 6 and len(rows) < 5000
 
 
+def by_best_fit(lengths, capacity):
+    """Sequences that best fit alone needs, a piece at a time."""
+    rooms = []
+    for s in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(rooms, s)
+        room = rooms.pop(at) if at < len(rooms) else capacity
+        bisect.insort(rooms, room - s)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "near a third", "just over half", "lognormal", "mixed"])
+def test_never_more_sequences_than_best_fit(kind):
+    rng = random.Random(9)
+    draw = {"uniform": lambda: rng.randint(1, 4096), "near a third": lambda: rng.randint(1300, 1499), "just over half": lambda: rng.randint(2049, 2300), "lognormal": lambda: min(4096, 1 + int(rng.lognormvariate(6.5, 1))), "mixed": lambda: rng.randint(*rng.choice([(1300, 2047), (2049, 2300)]))}[kind]
+    lengths = [draw() for _ in range(20000)]
+    histogram = {s: lengths.count(s) for s in set(lengths)}
+    rows, n = packing.plan(histogram)
+    assert packing.least_sequences(histogram, 4096) <= n <= by_best_fit(lengths, 4096)
+    ranks, placed = {}, []
+    for s in lengths:
+        k = ranks[s] = ranks.get(s, -1) + 1
+        q, o = packing.place(rows, np.array([s]), np.array([k]))
+        placed.append({"sequence_id": int(q[0]), "offset": int(o[0]), "length": s})
+    assert check(placed, 4096) == n
+
+
 def test_documents_round_trip(spark, odd_docs, odd_texts):
     packed = packing.pack_documents(odd_docs, with_ids=True, capacity=512)
     rows = packed.collect()
