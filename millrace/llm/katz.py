@@ -15,22 +15,25 @@ gets one more in its total, which is then free. With that each distribution
 sums to 1 exactly. A history not seen, or unknown, passes straight to P(w).
 
 Texts are read once, in chunks of about ``CHUNK`` tokens stored with their own
-vocabularies. Two exchanges then go from chunks to partitions of the model and
-back, each with a chunk's *distinct* words or word pairs only, so a pair costs
-the same however often a chunk has it:
-
-* words: partitions sum training counts, give each word a number, keep the
-  table of counts and the counts of counts, and answer with number and count;
-* pairs, by history: partitions sum training counts and keep, for each
-  history, its total, its counts of counts and the mass of the words seen
-  after it. Pairs of a history with more than ``2 N / partitions`` tokens are
-  spread over all partitions; there are under half as many such histories as
-  partitions, so their sums are gathered and sent to every task.
+vocabularies. Two exchanges then go from chunks to parts of the model and back,
+each with a chunk's *distinct* words or word pairs only, so a pair costs the
+same however often a chunk has it. There are as many parts as the tokens need
+at ``PART`` each, so a task's share is the same at every size:
+
+* words: parts sum training counts, give each word a number, keep the table of
+  counts and the counts of counts, and answer with number and count;
+* pairs, by history: parts sum training counts and keep, for each history, its
+  total, its counts of counts and the mass of the words seen after it. A
+  history with more than ``2 N / parts`` tokens is spread over as many parts as
+  it fills; there are under half as many such histories as parts, so their
+  sums are gathered and sent to every task.
 
 Each chunk at last evaluates its tokens by recursion on these answers. All
-tables lie in the shared folder. A null text is an empty one: only its end
-counts. Ties don't matter; repeated rows are scored and counted each. An empty
-table gives an empty result. Further columns aren't read.
+tables lie in the shared folder; counts and numbers of words have 64 bits. A
+null text is an empty one: only its end counts. A very long text is a chunk of
+its own. Ties don't matter; repeated rows are scored and counted each. A null
+condition is no training row. An empty table gives an empty result. Further
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -48,10 +51,14 @@ from .tables import partitions, stored
 from .textkit import mix, slices, word_hashes
 
 #: Tokens of a chunk, after which it is closed.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Tokens whose words or pairs one part of the model holds, about.
+PART = 8_000_000
 #: Counts up to this one are discounted.
 K = 5
 _END = np.uint64(0x454E44)
+#: The number of the begin of a text.
+_BEGIN = np.uint64(2**64 - 1)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -89,14 +96,14 @@ def _chunks(docs: DataFrame, id: str, text: str, train: Column) -> DataFrame:
             nonlocal number, size
             tokens, lengths, flags = (np.concatenate(c) for c in zip(*held, strict=True))
             words, stream = np.unique(tokens, return_inverse=True)
-            counts = np.bincount(stream[np.repeat(flags, lengths)], minlength=len(words)).astype(np.uint32)
+            counts = np.bincount(stream[np.repeat(flags, lengths)], minlength=len(words))
             own = pa.concat_arrays(ids)
-            columns = [pa.array([number]), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)]
-            columns += [pa.array([pack(x)], pa.binary()) for x in (lengths.astype(np.uint32), words, counts, stream.astype(np.uint32))]
+            columns = [pa.array([number]), pa.array([len(tokens)]), pa.array([int(counts.sum())]), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)]
+            columns += [pa.array([pack(x)], pa.binary()) for x in (lengths, words, counts, stream.astype(np.uint32))]
             number, size = number + 1, 0
             ids.clear()
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "lengths", "words", "counts", "stream"])
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "size", "train", "ids", "lengths", "words", "counts", "stream"])
 
         for whole in batches:
             for b in slices(whole, text):
@@ -116,7 +123,7 @@ def _chunks(docs: DataFrame, id: str, text: str, train: Column) -> DataFrame:
 
     d = docs.select(id, text, F.coalesce(train, F.lit(False)).alias("_train"))
     kind = d.schema[id].dataType.simpleString()
-    return stored(d.mapInArrow(run, f"chunk long, ids array<{kind}>, lengths binary, words binary, counts binary, stream binary"), "chunks")
+    return stored(d.mapInArrow(run, f"chunk long, size long, train long, ids array<{kind}>, lengths binary, words binary, counts binary, stream binary"), "chunks")
 
 
 _REQUEST = "part int, chunk long, a binary, b binary, c binary, d binary"
@@ -156,8 +163,8 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(c, K + 2).astype(np.int64), minlength=K + 3)[: K + 2].tolist()
 
 
-def _word_table(n: int) -> Callable[[pa.Table], pa.Table]:
-    """One partition of the words: answers (number, count), its counts of counts with total and distinct, and its frequent words."""
+def _word_table(n: int, total: int) -> Callable[[pa.Table], pa.Table]:
+    """One part of the words: answers (number, count), its counts of counts with total and distinct, and its words of over ``2 total / n`` tokens."""
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
@@ -165,13 +172,14 @@ def _word_table(n: int) -> Callable[[pa.Table], pa.Table]:
         ends = np.cumsum([len(w) for w in words])
         unique, inverse = np.unique(np.concatenate(words), return_inverse=True)
         c = np.bincount(inverse, np.concatenate([unpack(x) for x in t.column("b")]).astype(float), len(unique)).astype(np.int64)
-        number = (np.arange(len(unique)) * n + part).astype(np.uint32)
+        number = np.arange(len(unique), dtype=np.uint64) * np.uint64(n) + np.uint64(part)
         rows: list[tuple] = [("stats", part, None, None, None, [*_counts_of_counts(c), int(c.sum()), int((c > 0).sum())], None)]
-        top = np.argsort(-c, kind="stable")[:n]
-        rows.append(("top", part, None, pack(number[top]), pack(c[top]), None, None))
+        top = np.flatnonzero(c * n > 2 * total)
+        if len(top):
+            rows.append(("top", part, None, pack(number[top]), pack(c[top]), None, None))
         for k, e in enumerate(ends):
             own = inverse[e - len(words[k]) : e]
-            rows.append(("word", part, t.column("chunk")[k].as_py(), pack(number[own]), pack(c[own].astype(np.uint32)), None, None))
+            rows.append(("word", part, t.column("chunk")[k].as_py(), pack(number[own]), pack(c[own]), None, None))
         return pa.Table.from_batches([_rows(rows, _ANSWER_ARROW)])
 
     return run
@@ -180,13 +188,13 @@ def _word_table(n: int) -> Callable[[pa.Table], pa.Table]:
 class _Chunk:
     """A chunk with its words' numbers and counts, and its distinct pairs in a fixed order."""
 
-    def __init__(self, row: pa.Table, answers: pa.Table, n: int, hot: np.ndarray) -> None:
+    def __init__(self, row: pa.Table, answers: pa.Table, n: int, hot: np.ndarray, spread: np.ndarray) -> None:
         self.chunk = row.column("chunk")[0].as_py()
         self.ids = row.column("ids").combine_chunks().flatten()
         self.lengths = unpack(row.column("lengths")[0]).astype(np.int64)
         words, self.stream = unpack(row.column("words")[0]), unpack(row.column("stream")[0]).astype(np.int64)
-        self.number, self.count = np.zeros(len(words) + 1, np.uint32), np.zeros(len(words) + 1, np.int64)
-        self.number[-1] = 0xFFFFFFFF  # the begin of a text
+        self.number, self.count = np.zeros(len(words) + 1, np.uint64), np.zeros(len(words) + 1, np.int64)
+        self.number[-1] = _BEGIN
         places = dict(_by_part((words % np.uint64(n)).astype(np.int64), n))
         self.answers = {}
         for kind, part, a, b, mass in zip(*(answers.column(x) for x in ("kind", "part", "a", "b", "mass")), strict=True):
@@ -201,21 +209,24 @@ class _Chunk:
         before[starts] = len(words)
         self.pairs, self.inverse = np.unique(before * (len(words) + 1) + self.stream, return_inverse=True)
         self.first, self.second = self.pairs // (len(words) + 1), self.pairs % (len(words) + 1)
-        v, w = self.number[self.first].astype(np.uint64), self.number[self.second].astype(np.uint64)
-        spread = np.isin(v, hot)
-        self.part = (mix(np.where(spread, (v << np.uint64(32)) | w, v)) % np.uint64(n)).astype(np.int64)
-        self.places = list(_by_part(self.part, n))
+        v, w = self.number[self.first], self.number[self.second]
+        self.hot = np.minimum(np.searchsorted(hot, v), max(len(hot) - 1, 0))
+        self.is_hot = hot[self.hot] == v if len(hot) else np.zeros(len(v), bool)
+        part = mix(v) % np.uint64(n)
+        own = self.is_hot
+        part[own] = (part[own] + mix(w[own]) % spread[self.hot[own]]) % np.uint64(n)
+        self.places = list(_by_part(part.astype(np.int64), n))
 
 
-def _pair_requests(n: int, hot: np.ndarray, train_of: Callable[[pa.Table], np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _pair_requests(n: int, hot: np.ndarray, spread: np.ndarray, train_of: Callable[[pa.Table], np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(row):
             return pa.Table.from_batches([_rows([], _REQUEST_ARROW)])
-        c = _Chunk(row, answers, n, hot)
-        seen = np.bincount(c.inverse[np.repeat(train_of(row), c.lengths)], minlength=len(c.pairs)).astype(np.uint32)
+        c = _Chunk(row, answers, n, hot, spread)
+        seen = np.bincount(c.inverse[np.repeat(train_of(row), c.lengths)], minlength=len(c.pairs))
         rows = []
         for p, own in c.places:
-            inner = np.where(seen[own] > 0, c.count[c.second[own]], 0).astype(np.uint32)
+            inner = np.where(seen[own] > 0, c.count[c.second[own]], 0)
             rows.append((p, c.chunk, *(pack(x) for x in (c.number[c.first[own]], c.number[c.second[own]], seen[own], inner))))
         return pa.Table.from_batches([_rows(rows, _REQUEST_ARROW)])
 
@@ -228,34 +239,35 @@ def _histories(number: np.ndarray) -> np.ndarray:
 
 
 def _pair_table(hot: np.ndarray, d: np.ndarray, total: int) -> Callable[[pa.Table], pa.Table]:
-    """One partition of the pairs: answers (counts; each history's total, counts of counts and mass), and sums of the spread histories."""
+    """One part of the pairs: answers (counts; each history's total, counts of counts and mass), and sums of the spread histories."""
 
     def run(t: pa.Table) -> pa.Table:
         part = t.column("part")[0].as_py()
         firsts = [unpack(x) for x in t.column("a")]
         ends = np.cumsum([len(x) for x in firsts])
         second, seen, inner = (np.concatenate([unpack(x) for x in t.column(k)]) for k in "bcd")
-        key = (np.concatenate(firsts).astype(np.uint64) << np.uint64(32)) | second
-        unique, inverse = np.unique(key, return_inverse=True)
+        first, v = np.unique(np.concatenate(firsts), return_inverse=True)
+        words, w = np.unique(second, return_inverse=True)
+        unique, inverse = np.unique(v * len(words) + w, return_inverse=True)
         c = np.bincount(inverse, seen.astype(float), len(unique)).astype(np.int64)
         mass = np.zeros(len(unique))
         own = seen > 0
         mass[inverse[own]] = d[np.minimum(inner[own], K + 1)] * inner[own] / max(total, 1)
-        v = unique >> np.uint64(32)
+        v = unique // len(words)
         at = _histories(v)
-        number = v[at]
+        number = first[v[at]]
         sums = np.stack([np.add.reduceat((c == r).astype(np.int64), at) for r in range(1, K + 1)] + [np.add.reduceat(c, at), np.add.reduceat(np.where(c > K, 1, 0), at)], 1)
         masses = np.add.reduceat(mass, at)
         rows: list[tuple] = [("stats", part, None, None, None, _counts_of_counts(c), None)]
         for k in np.flatnonzero(np.isin(number, hot)):
-            rows.append(("hot", part, None, None, None, [int(number[k]), *sums[k].tolist()], float(masses[k])))
+            rows.append(("hot", part, None, None, None, [int(number[k].astype(np.int64)), *sums[k].tolist()], float(masses[k])))
         history = np.zeros(len(unique), np.int64)
         history[at[1:]] = 1
         history = np.cumsum(history)
         for k, e in enumerate(ends):
             mine = inverse[e - len(firsts[k]) : e]
             h = history[mine[_histories(firsts[k])]]
-            rows.append(("pair", part, t.column("chunk")[k].as_py(), pack(c[mine].astype(np.uint32)), _two(sums[h].astype(np.uint32).ravel(), masses[h]), None, None))
+            rows.append(("pair", part, t.column("chunk")[k].as_py(), pack(c[mine]), _two(sums[h].ravel(), masses[h]), None, None))
         return pa.Table.from_batches([_rows(rows, _ANSWER_ARROW)])
 
     return run
@@ -282,29 +294,27 @@ def backoff(sums: np.ndarray, mass: np.ndarray, big: np.ndarray) -> tuple[np.nda
     return total, weight
 
 
-def _scores(n: int, hot: np.ndarray, hot_sums: np.ndarray, hot_mass: np.ndarray, small: np.ndarray, big: np.ndarray, total: int, distinct: int, unknown: float, kind: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _scores(n: int, hot: np.ndarray, spread: np.ndarray, hot_sums: np.ndarray, hot_mass: np.ndarray, small: np.ndarray, big: np.ndarray, total: int, distinct: int, unknown: float, kind: pa.DataType) -> Callable[[pa.Table, pa.Table], pa.Table]:
     schema = pa.schema([("id", kind), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     hot_total, hot_weight = backoff(hot_sums, hot_mass, big)
 
     def run(row: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(row):
             return schema.empty_table()
-        c = _Chunk(row, answers, n, hot)
+        c = _Chunk(row, answers, n, hot, spread)
         seen, history, weight = np.zeros(len(c.pairs)), np.zeros(len(c.pairs)), np.ones(len(c.pairs))
         for p, own in c.places:
             a, b, _ = c.answers[p]
             seen[own] = unpack(a)
             sums, mass = _untwo(b)
-            t, w = backoff(sums.reshape(-1, K + 2).astype(np.int64), mass, big)
+            t, w = backoff(sums.reshape(-1, K + 2), mass, big)
             at = np.zeros(len(own), np.int64)
             at[_histories(c.number[c.first[own]])[1:]] = 1
             at = np.cumsum(at)
             history[own], weight[own] = t[at], w[at]
         if len(hot):
-            v = c.number[c.first].astype(np.int64)
-            at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
-            spread = hot[at] == v
-            history[spread], weight[spread] = hot_total[at[spread]], hot_weight[at[spread]]
+            at = c.hot[c.is_hot]
+            history[c.is_hot], weight[c.is_hot] = hot_total[at], hot_weight[at]
         word = np.where(c.count > 0, small[np.minimum(c.count, K + 1)] * c.count / max(total, 1), unknown)
         direct = big[np.minimum(seen, K + 1).astype(np.int64)] * seen / np.maximum(history, 1)
         p = np.log10(np.where(seen > 0, direct, weight * word[c.second]))
@@ -318,42 +328,47 @@ def _scores(n: int, hot: np.ndarray, hot_sums: np.ndarray, hot_mass: np.ndarray,
 
 def katz_scores(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
     """(id, n_tokens, n_known, base_score, score) of every text, N and V. ``train``: a condition on the ids, or other columns, of ``docs``."""
-    n = partitions(docs.sparkSession)
+    least = partitions(docs.sparkSession)
     source = docs.select(F.struct(F.col(id).alias("id"), F.coalesce(train, F.lit(False)).alias("train")).alias("id"), F.col(text).alias("text"))
     chunks = _chunks(source, "id", "text", F.col("id.train"))
-    words = stored(chunks.select("chunk", "words", "counts").mapInArrow(_word_requests(n), _REQUEST).groupBy("part").applyInArrow(_word_table(n), _ANSWER), "words")
+    many, tokens, total = (x or 0 for x in chunks.agg(F.count(F.lit(1)), F.sum("size"), F.sum("train")).first())
+    n = max(least, -(-tokens // PART))
+    # beyond the session's partitions tasks grow in number, not in size
+    by_part = lambda df: (df.repartition(n, "part") if n > least else df).groupBy("part")
+    by_chunk = lambda df: (df.repartition(many, "chunk") if many > least else df).groupBy("chunk")
+
+    words = stored(by_part(chunks.select("chunk", "words", "counts").mapInArrow(_word_requests(n), _REQUEST)).applyInArrow(_word_table(n, total), _ANSWER), "words")
     sums = words.where("kind = 'stats'").select(*(F.sum(F.col("n")[k]).alias(f"s{k}") for k in range(K + 4))).first()
     sums = [s or 0 for s in sums]
-    total, distinct = sums[K + 2], sums[K + 3]
+    distinct = sums[K + 3]
     small = discounts(dict(enumerate(sums[: K + 2])))
     unknown = sum(sums[r] * r * (1 - small[r]) for r in range(1, K + 1)) / total if total else 1.0
     if total and unknown <= 0:  # no word occurs as rarely as K times: one more in the total is free
         unknown = 1 / (total + 1)
         small = small * total / (total + 1)
-    hot = []
+    hot, spread = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     for r in words.where("kind = 'top'").select("a", "b").toLocalIterator():
-        number, c = unpack(r["a"]), unpack(r["b"])
-        hot += number[c > 2 * max(total, 1) / n].tolist()
-    hot = np.array(sorted(hot), np.int64)
+        hot, spread = np.append(hot, unpack(r["a"])), np.append(spread, (unpack(r["b"]) * n // total + 1).astype(np.uint64))
+    order = np.argsort(hot)
+    hot, spread = hot[order], np.minimum(spread[order], np.uint64(n))
 
     answers = words.where("kind = 'word'")
     flags = lambda row: row.column("ids").combine_chunks().flatten().field("train").to_numpy(zero_copy_only=False).astype(bool)
-    by_chunk = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    pairs = by_chunk.applyInArrow(_pair_requests(n, hot, flags), _REQUEST).groupBy("part").applyInArrow(_pair_table(hot, small, total), _ANSWER)
-    pairs = stored(pairs, "pairs")
+    requests = by_chunk(chunks).cogroup(by_chunk(answers)).applyInArrow(_pair_requests(n, hot, spread, flags), _REQUEST)
+    pairs = stored(by_part(requests).applyInArrow(_pair_table(hot, small, total), _ANSWER), "pairs")
     counts = pairs.where("kind = 'stats'").select(*(F.sum(F.col("n")[k]).alias(f"s{k}") for k in range(K + 2))).first()
     big = discounts({k: c or 0 for k, c in enumerate(counts)})
     gathered = pairs.where("kind = 'hot'").groupBy(F.col("n")[0].alias("number")).agg(*(F.sum(F.col("n")[k + 1]).alias(f"s{k}") for k in range(K + 2)), F.sum("mass").alias("mass")).collect()
     hot_sums, hot_mass = np.zeros((len(hot), K + 2), np.int64), np.zeros(len(hot))
     for r in gathered:
-        k = int(np.searchsorted(hot, r["number"]))
+        k = int(np.searchsorted(hot, np.int64(r["number"]).astype(np.uint64)))
         hot_sums[k], hot_mass[k] = [r[f"s{j}"] for j in range(K + 2)], r["mass"]
 
     kind = docs.schema[id].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     own = pa.struct([("id", to_arrow_type(kind)), ("train", pa.bool_())])
-    run = _scores(n, hot, hot_sums, hot_mass, small, big, total, distinct, unknown, own)
+    run = _scores(n, hot, spread, hot_sums, hot_mass, small, big, total, distinct, unknown, own)
     everything = answers.unionByName(pairs.where("kind = 'pair'")).drop("n")
-    scored = chunks.groupBy("chunk").cogroup(everything.groupBy("chunk")).applyInArrow(run, f"id struct<id:{kind.simpleString()},train:boolean>, n_tokens long, n_known long, base_score double, score double")
+    scored = by_chunk(chunks).cogroup(by_chunk(everything)).applyInArrow(run, f"id struct<id:{kind.simpleString()},train:boolean>, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id.id").alias(id), "n_tokens", "n_known", "base_score", "score"), total, distinct

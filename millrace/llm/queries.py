@@ -25,6 +25,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def _remainder(by: int, of: int) -> F.Column:
+    """Whether crc32 of the id leaves that remainder; false for a null id."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(by)) == of, F.lit(False))
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,16 +65,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1
+    held_out = _remainder(5, 1)
     scores, total, _ = katz_scores(documents(spark, sf_dir), ~held_out)
-    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", (F.col("score") / F.col("n_tokens")).alias("score_per_token"), ((F.col("score") - F.col("base_score")) / F.col("n_tokens")).alias("gain_per_token"))
 
 
 @query
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = quality_knn.fit(docs, quality_knn.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held_out = _remainder(4, 2)
     return quality_knn.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -77,7 +82,7 @@ def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     chain = toxicity.fit(docs, quality_knn.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held_out = _remainder(4, 2)
     return toxicity.score(docs, chain).select("doc_id", held_out.alias("held_out"), *(F.col(n).alias(f"p_{n}") for n in toxicity.NAMES), (F.col("toxic") >= 0.5).cast("int").alias("predicted"))
 
 

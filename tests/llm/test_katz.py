@@ -2,6 +2,8 @@ import collections
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,9 +47,10 @@ def brute(texts, train):
     return out, total
 
 
-@pytest.mark.parametrize("chunk", [50, 2_000_000])
-def test_scores_equal_brute_force(spark, sf, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, part", [(1500, 8_000_000), (1500, 3000), (2_000_000, 8_000_000)])
+def test_scores_equal_brute_force(spark, sf, monkeypatch, chunk, part):
     monkeypatch.setattr(katz, "CHUNK", chunk)
+    monkeypatch.setattr(katz, "PART", part)
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40).collect()}
     texts |= {1000: None, 1001: "", 1002: "unseen words only qqq", 1003: "the " * 400}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
@@ -66,3 +69,23 @@ def test_odd_tables(odd_docs, empty_docs):
     scores, total, distinct = katz.katz_scores(odd_docs, F.lit(False))
     assert (total, distinct) == (0, 0) and scores.where("n_known > 0 OR isnan(score)").count() == 0
     assert katz.katz_scores(empty_docs, F.lit(True))[0].count() == 0
+
+
+def test_counts_over_32_bits():
+    request = lambda chunk: (0, chunk, katz.pack(np.array([5, 9], np.uint64)), katz.pack(np.array([3_000_000_000, 1])), None, None)
+    t = pa.Table.from_batches([katz._rows([request(1), request(2)], katz._REQUEST_ARROW)])
+    out = katz._word_table(4, 6_000_000_002)(t).to_pylist()
+    assert [katz.unpack(r["b"]).tolist() for r in out if r["kind"] == "word"] == [[6_000_000_000, 2]] * 2
+    assert [r["n"][-2:] for r in out if r["kind"] == "stats"] == [[6_000_000_002, 2]]
+    assert [katz.unpack(r["b"]).tolist() for r in out if r["kind"] == "top"] == [[6_000_000_000]]
+
+
+def test_pairs_of_words_numbered_over_32_bits():
+    """Two histories whose numbers agree in their low 32 bits stay apart."""
+    first, second = np.array([7, 2**40 + 7], np.uint64), np.array([2**35, 3], np.uint64)
+    row = (0, 1, katz.pack(first), katz.pack(second), katz.pack(np.array([5_000_000_000, 1])), katz.pack(np.array([4, 4])))
+    out = katz._pair_table(np.zeros(0, np.uint64), np.ones(K + 2), 10)(pa.Table.from_batches([katz._rows([row, row], katz._REQUEST_ARROW)])).to_pylist()
+    answers = [r for r in out if r["kind"] == "pair"]
+    assert [katz.unpack(r["a"]).tolist() for r in answers] == [[10_000_000_000, 2]] * 2
+    sums, _ = katz._untwo(pa.scalar(answers[0]["b"], pa.binary()))
+    assert sums.reshape(-1, K + 2)[:, K].tolist() == [10_000_000_000, 2]
