@@ -51,7 +51,7 @@ def brute(texts, train):
 def test_scores_equal_brute_force(spark, sf, monkeypatch, chunk, part):
     monkeypatch.setattr(katz, "CHUNK", chunk)
     monkeypatch.setattr(katz, "PART", part)
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(40).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(12).collect()}
     texts |= {1000: None, 1001: "", 1002: "unseen words only qqq", 1003: "the " * 400}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     scores, total, _ = katz.katz_scores(docs, F.col("doc_id") % 5 != 1)
