@@ -87,6 +87,47 @@ def test_decontamination_finds_copies_of_thousands_of_items(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()} == {(k, k) for k in range(0, 2500, 5)}
 
 
+@pytest.mark.parametrize("paraphrased", [False, True])
+def test_items_of_any_length_are_found(spark, paraphrased):
+    """Items of 3 to 2,000 words (paraphrases from 10), inside longer texts; other texts of the same words stay."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(20000)]
+    text = lambda n: " ".join(vocabulary[int(20000 * rng.random() ** 2)] for _ in range(n))
+    sizes = [10, 20, 40, 63, 64, 65, 100, 130, 400, 500, 800, 1500, 2000] + ([] if paraphrased else [3, 4, 5, 6, 7])
+    items = [(k, text(sizes[k % len(sizes)])) for k in range(6 * len(sizes))]
+    docs = []
+    for k, own in items:
+        words = own.split()
+        if paraphrased:  # one word in seven replaced, one in twenty left out
+            words = [rng.choice(vocabulary) if rng.random() < 1 / 7 else w for w in words if rng.random() > 1 / 20]
+        docs.append((k, f"{text(rng.randint(0, 300))} {' '.join(words)} {text(rng.randint(0, 300))}"))
+    docs += [(1000 + k, text(rng.choice([5, 100, 3000]))) for k in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()}
+    want = {(k, k) for k, _ in items}
+    assert len(want & got) >= (0.95 if paraphrased else 1) * len(want)
+    assert len({p for p in got - want if len(items[p[1]][1].split()) > 5}) == 0
+
+
+def test_an_item_longer_than_a_part(spark):
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"w{int(9000 * rng.random() ** 2)}" for _ in range(n))
+    item = text(9000)
+    words = item.split()
+    near = " ".join(w for k, w in enumerate(words) if k % 15)
+    half = " ".join(words[:3000])
+    d = spark.createDataFrame([(1, f"{text(500)} {item}"), (2, f"{near} {text(90)}"), (3, half), (4, text(9000))], "doc_id long, text string")
+    found = {r["doc_id"]: r["covered"] for r in decontam.contaminated(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert found.keys() == {1, 2} and found[1] == 1
+
+
+def test_decontamination_with_clashing_names(spark):
+    d = spark.createDataFrame([(1, "one two three four five six seven", "a"), (2, "other words", "b"), (None, "x", "c")], "`doc.id` long, text string, hit string")
+    b = spark.createDataFrame([(7, "two three four")], "item_id long, text string")
+    out = decontam.decontaminate(d, b, id="doc.id")
+    assert out.columns == d.columns and sorted(r["hit"] for r in out.collect()) == ["b", "c"]
+
+
 def test_longest_common_subsequence():
     a, b = np.array([1, 2, 3, 4, 5]), np.array([9, 1, 3, 9, 4, 2, 5])
     x, y = decontam.common_subsequence(a, b)
