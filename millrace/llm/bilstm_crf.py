@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
-CLASSES = "@.+-()_%/:,;'\"#=|!?&*$"
-#: 0 pads; then letters a-z, A-Z and beyond, digits, space, line ends, the marks above, all else.
-N_CLASSES = 8 + len(CLASSES)
+CLASSES = "@.+-()_%/:,;'\"#=|!?&*$[]{}"
+#: 0 pads; then 26 letters without case, other letters, digits, blanks, line ends, the marks above, all else.
+N_CLASSES = 32 + len(CLASSES)
 
 
 def encode(text: str) -> np.ndarray:
@@ -19,14 +19,13 @@ def encode(text: str) -> np.ndarray:
     return _TABLE[np.minimum(points, 256)]
 
 
-_TABLE = np.full(257, 7, np.int64)
-for _a, _b, _k in ((97, 123, 1), (65, 91, 2), (48, 58, 4)):
-    _TABLE[_a:_b] = _k
-_TABLE[256] = _TABLE[0xC0:0x100] = 3
-_TABLE[256] = 3
-_TABLE[32], _TABLE[10], _TABLE[13] = 5, 6, 6
+_TABLE = np.full(257, 31, np.int64)
+_TABLE[97:123] = _TABLE[65:91] = np.arange(1, 27)
+_TABLE[0xC0:0x101] = 27
+_TABLE[48:58] = 28
+_TABLE[32], _TABLE[10], _TABLE[13] = 29, 30, 30
 for _k, _x in enumerate(CLASSES):
-    _TABLE[ord(_x)] = 8 + _k
+    _TABLE[ord(_x)] = 32 + _k
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -39,11 +38,11 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, n_tags: int, hidden: int = 16, embed: int = 8, seed: int = 7) -> None:
+    def __init__(self, n_tags: int, hidden: int = 24, embed: int = 12, seed: int = 7) -> None:
         r = np.random.default_rng(seed)
         f = lambda *s: (r.standard_normal(s) * (1.0 / np.sqrt(s[0]))).astype(np.float32)
         self.h = hidden
-        self.p = {"E": f(N_CLASSES, embed), "O": f(2 * hidden, n_tags), "o": np.zeros(n_tags, np.float32), "T": np.zeros((n_tags, n_tags), np.float32)}
+        self.p = {"E": 3 * f(N_CLASSES, embed), "O": f(2 * hidden, n_tags), "o": np.zeros(n_tags, np.float32), "T": np.zeros((n_tags, n_tags), np.float32)}
         for d in "fb":
             self.p |= {f"W{d}": f(embed, 4 * hidden), f"U{d}": f(hidden, 4 * hidden), f"b{d}": np.zeros(4 * hidden, np.float32)}
             self.p[f"b{d}"][hidden : 2 * hidden] = 1
@@ -119,11 +118,11 @@ class Tagger:
             ds, dc = da @ u.T, dct * f
         return dx
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.01) -> Tagger:
-        """Adam on the CRF's negative log likelihood. x, y: (windows, steps)."""
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 600, batch: int = 48, rate: float = 0.04) -> Tagger:
+        """Adam on the CRF's negative log likelihood, the rate falling to a tenth; an epoch takes every window once. x, y: (windows, steps)."""
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         r, step = np.random.default_rng(11), 0
-        for _ in range(epochs):
+        while step < steps:
             order = r.permutation(len(x))
             for at in range(0, len(order), batch):
                 own = order[at : at + batch]
@@ -144,10 +143,13 @@ class Tagger:
                 de = self._back(e, "f", kf, dh[:, :, : self.h], g) + self._back(e[::-1], "b", kb, dh[::-1, :, self.h :], g)[::-1]
                 np.add.at(g["E"], xs.T, de)
                 step += 1
+                now = rate * (1 - 0.9 * step / steps)
                 for k, v in self.p.items():
                     grad = np.clip(g[k] / len(own), -1, 1)
                     a, b = m[k]
                     a += 0.1 * (grad - a)
                     b += 0.001 * (grad * grad - b)
-                    v -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    v -= (now * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                if step == steps:
+                    break
         return self

@@ -36,10 +36,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir).select("doc_id", "text")).select(*columns)
 
 
-def _digests(spans: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+def _digests(spans: DataFrame, kinds: tuple[str, ...], *more: F.Column) -> DataFrame:
     counts = [count(k).alias(f"n_{k}") for k in kinds]
     base = F.filter("spans", lambda s: s["kind"].isin(list(kinds)))
-    return spans.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"), *more)
 
 
 @query
@@ -49,7 +49,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digests(detect_pii(documents(spark, sf_dir)), ("email", "ip", "card", "phone"))
+        found = detect_pii(documents(spark, sf_dir))
+    return _digests(found, ("email", "ip", "card", "phone"), F.size("spans").cast("long").alias("n_spans"), *(count(f"lstm_{k}").alias(f"n_lstm_{k}") for k in ("email", "ip", "card", "phone")))
 
 
 @query
