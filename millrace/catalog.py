@@ -62,15 +62,16 @@ def chosen(name: str, expr: str | None = None) -> dict[str, Any]:
 
 @query("SELECT l_returnflag, sum(round(l_extendedprice * (1 - l_discount), 4))::DECIMAL(30,4)::DOUBLE AS revenue, count(*) AS n FROM lineitem WHERE l_quantity < 24 GROUP BY l_returnflag")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole pipeline: filter, map_record, and an aggregate by splitter key."""
+    """A whole pipeline: filter, map_record, and an aggregate by splitter key. Sums are of decimals, so their order doesn't matter."""
     price = op("*", col("l_extendedprice"), op("-", val(1), col("l_discount")))
     config = {"sources": ["lineitem"], "steps": [{"pipes": [
         {"type": "fan_out", "input": "lineitem", "apply": [{"type": "filter", "filter": op("<", col("l_quantity"), val(24)), "output": "small"}]},
-        {"type": "fan_out", "input": "small", "apply": [{"type": "map_record", "columns": [chosen("l_returnflag"), evaluated("disc_price", price)], "output": "priced"}]},
-        {"type": "splitter", "splitter": {"column": "l_returnflag"}, "input": "priced", "apply": [{"type": "aggregate", "columns": [{"name": "n", "type": "count", "expr": "*"}, {"name": "l_returnflag", "type": "select", "expr": "l_returnflag"}], "output": "counts"}]}]}]}
-    made = pipeline.build(spark, config, {"lineitem": _t(spark, sf_dir, "lineitem")})
-    sums = made["priced"].groupBy("l_returnflag").agg(F.sum(F.round("disc_price", 4).cast("decimal(20,4)")).cast("double").alias("revenue"))
-    return sums.join(made["counts"].select("l_returnflag", "n"), "l_returnflag")
+        {"type": "fan_out", "input": "small", "apply": [{"type": "map_record", "columns": [chosen("l_returnflag"), evaluated("disc_price", price)], "output": "priced"}]}]}, {"pipes": [
+        {"type": "splitter", "splitter": {"column": "l_returnflag"}, "input": "exact", "apply": [{"type": "aggregate", "columns": [{"name": "revenue", "type": "sum", "expr": "disc_price"}, {"name": "n", "type": "count", "expr": "*"}], "output": "sums"}]}]}]}
+    first = pipeline.build(spark, {**config, "steps": config["steps"][:1]}, {"lineitem": _t(spark, sf_dir, "lineitem")})
+    exact = first["priced"].withColumn("disc_price", F.round("disc_price", 4).cast("decimal(20,4)"))
+    made = pipeline.build(spark, {"sources": ["exact"], "steps": config["steps"][1:]}, {"exact": exact})
+    return made["sums"].select(F.col("split_key").alias("l_returnflag"), F.col("revenue").cast("double").alias("revenue"), "n")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 24 AND l_returnflag = 'R'")
@@ -161,10 +162,10 @@ def agg_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH RECURSIVE r AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
 b AS (SELECT o_custkey, k, o_totalprice AS v FROM r WHERE k = 1 UNION ALL SELECT r.o_custkey, r.k, b.v + (r.o_totalprice - b.v) * 2 / (r.k + 1) FROM b JOIN r ON r.o_custkey = b.o_custkey AND r.k = b.k + 1)
-SELECT o_custkey, round(arg_max(v, k), 2) AS blend FROM b GROUP BY o_custkey""")
+SELECT o_custkey, round(arg_max(v, k), 6) AS blend FROM b GROUP BY o_custkey""")
 def avrg_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = [{"name": "blend", "type": "avrg", "expr": "o_totalprice"}]
-    return transforms.aggregate_rows(_t(spark, sf_dir, "orders"), spec, ["o_custkey"], order="o_orderkey").withColumn("blend", F.round("blend", 2))
+    return transforms.aggregate_rows(_t(spark, sf_dir, "orders"), spec, ["o_custkey"], order="o_orderkey").withColumn("blend", F.round("blend", 6))
 
 
 @query("SELECT count(*) AS customers, sum(n)::BIGINT AS orders, max(n) AS most FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) WHERE n > 1")
@@ -241,9 +242,9 @@ def high_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.high_freq(_t(spark, sf_dir, "customer"), ["c_mktsegment", "c_nationkey"], 60)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_returnflag || '|' || ((row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber, l_partkey, l_suppkey) - 1) // 1000)::VARCHAR AS split_key FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, l_returnflag || '|' || ((row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey * 10 + l_linenumber, l_partkey, l_suppkey) - 1) // 1000)::VARCHAR AS split_key FROM lineitem")
 def splitter_ext_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _t(spark, sf_dir, "lineitem").where("l_linenumber = 1").withColumn("seq", F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_partkey", "l_suppkey"))
+    t = _t(spark, sf_dir, "lineitem").withColumn("seq", F.struct(F.col("l_orderkey") * 10 + F.col("l_linenumber"), "l_partkey", "l_suppkey"))
     return transforms.splitter(t, "l_returnflag", rows_each=1000, order="seq").select("l_orderkey", "l_linenumber", "split_key")
 
 
@@ -283,9 +284,9 @@ def cleansing_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey, printf('%.6f', ceil(c_acctbal / 7)) AS units, printf('%.6f', c_acctbal / 4) AS amount, CASE WHEN substr(p, 1, 1) BETWEEN '2' AND '9' AND substr(p, 4, 1) BETWEEN '2' AND '9' THEN '+1' || p END AS phone,
-'0' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || '123456' AS ndc FROM (SELECT *, lpad((c_custkey * 104729 % 10000000000)::VARCHAR, 10, '3') AS p FROM customer) WHERE c_acctbal > 0""")
+'0' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || '123456' AS ndc FROM (SELECT *, lpad((c_custkey * 104729 % 10000000000)::VARCHAR, 10, '3') AS p FROM customer)""")
 def cleansing_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _t(spark, sf_dir, "customer").where("c_acctbal > 0").withColumn("p", F.lpad((F.col("c_custkey") * 104729 % 10000000000).cast("string"), 10, "3"))
+    t = _t(spark, sf_dir, "customer").withColumn("p", F.lpad((F.col("c_custkey") * 104729 % 10000000000).cast("string"), 10, "3"))
     ndc = F.concat(F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit("-1234-56"))
     return t.select("c_custkey", cleansing.cleanse("scale_units", F.col("c_acctbal"), "7")[0].alias("units"), cleansing.cleanse("parse_amount", F.col("c_acctbal"), "4")[0].alias("amount"), cleansing.cleanse("format_phone", F.col("p"))[0].alias("phone"), cleansing.cleanse("ndc10_to_11", ndc)[0].alias("ndc"))
 
@@ -317,7 +318,13 @@ def domain_key_none(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select("c_custkey", keys.domain_key(["c_name", "c_mktsegment"]).alias("plain"))
 
 
-@query()
+def _uuid_sql(digest: str, version: int) -> str:
+    h = f"{digest}(unhex('038470361ef44c2488157aab5064c3ce') || upper(c_name)::BLOB)"
+    variant = f"substr('89ab', (('0x' || {h}[17])::INTEGER & 3) + 1, 1)"
+    return f"{h}[1:8] || '-' || {h}[9:12] || '-{version}' || {h}[14:16] || '-' || {variant} || {h}[18:20] || '-' || {h}[21:32]"
+
+
+@query(f"SELECT c_custkey, {_uuid_sql('sha1', 5)} AS v5, {_uuid_sql('md5', 3)} AS v3 FROM customer")
 def domain_key_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "customer").select("c_custkey", keys.domain_key(["c_name"], "sha1").alias("v5"), keys.domain_key(["c_name"], "md5").alias("v3"))
 
@@ -335,6 +342,25 @@ def rule_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 THEN 1 ELSE 0 END AS ge, CASE WHEN o_totalprice < 100000 THEN 1 ELSE 0 END AS lt, CASE WHEN o_totalprice <= 100000 THEN 1 ELSE 0 END AS le, CASE WHEN o_totalprice > 400000 OR o_orderstatus = 'F' THEN 1 ELSE 0 END AS either,
+o_custkey * 3 AS thrice, o_custkey + 1 AS next, o_custkey - 1 AS prior, o_orderstatus || o_orderpriority AS joined, 1 AS near, CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END AS negated, abs(o_custkey - 500) AS apart, lower(o_orderpriority) AS low, upper(lower(o_orderpriority)) AS up,
+CASE WHEN o_custkey >= o_orderkey THEN 'customer' ELSE 'order' END AS high_head, CASE WHEN o_custkey <= o_orderkey THEN 'customer' ELSE 'order' END AS sorted, regexp_extract(o_orderpriority, '[A-Z]+') AS found, CASE WHEN starts_with(o_orderpriority, '1') THEN 1 ELSE 0 END AS begins,
+CASE WHEN ends_with(o_orderpriority, 'H') THEN 1 ELSE 0 END AS finishes, greatest(o_custkey, o_orderkey) AS high, 2 AS many, 1 AS there, 0 AS gone, strftime(o_orderdate, '%Y%m%d') AS day, o_custkey::VARCHAR AS text, o_custkey::DOUBLE AS number,
+trim(o_orderpriority) AS trimmed, ((2024 - year(o_orderdate)) * 12 + 1 - month(o_orderdate))::INTEGER AS months, 1 AS literal, 0 AS resource, 0 AS missing FROM orders""")
+def rule_operators_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, u, c = rule_ops.BINARY, rule_ops.UNARY, F.col
+    values, names = F.array("o_custkey", "o_orderkey"), F.array(F.lit("customer"), F.lit("order"))
+    price, day = c("o_totalprice"), c("o_orderdate")
+    return _t(spark, sf_dir, "orders").select(
+        "o_orderkey", b[">="](price, F.lit(100000)).alias("ge"), b["<"](price, F.lit(100000)).alias("lt"), b["<="](price, F.lit(100000)).alias("le"), b["or"](b[">"](price, F.lit(400000)), b["=="](c("o_orderstatus"), F.lit("F"))).alias("either"),
+        b["*"](c("o_custkey"), F.lit(3)).alias("thrice"), b["+"](c("o_custkey"), F.lit(1)).alias("next"), b["-"](c("o_custkey"), F.lit(1)).alias("prior"), b["+"](c("o_orderstatus"), c("o_orderpriority"), True).alias("joined"), b["=="](price, price / 3 * 3).alias("near"),
+        u["not"](b["=="](c("o_orderstatus"), F.lit("F"))).alias("negated"), u["abs"](c("o_custkey") - 500).alias("apart"), u["to_lower"](c("o_orderpriority")).alias("low"), u["to_upper"](F.lower("o_orderpriority")).alias("up"), b["max_head_of"](names, values).alias("high_head"), b["sorted_head"](names, values).alias("sorted"),
+        b["literal_regex"](c("o_orderpriority"), "[A-Z]+").alias("found"), b["starts_with"](c("o_orderpriority"), F.lit("1")).alias("begins"), b["ends_with"](c("o_orderpriority"), F.lit("H")).alias("finishes"), b["max_of"](c("o_custkey"), c("o_orderkey")).alias("high"), b["size_of"](values).alias("many"), b["exist"](price).alias("there"), b["exist_not"](price).alias("gone"),
+        b["apply_format"](day, "yyyyMMdd").alias("day"), u["to_text"](c("o_custkey")).alias("text"), u["to_double"](c("o_custkey").cast("string")).alias("number"), u["trim"](F.concat(F.lit("\t "), "o_orderpriority", F.lit("\n"))).alias("trimmed"), b["age_in_months_as_of"](day.cast("date"), F.lit("2024-01-01").cast("date")).alias("months"),
+        u["is_literal"](c("o_orderkey")).alias("literal"), u["is_resource"](c("o_orderkey")).alias("resource"), u["is_null"](c("o_orderkey")).alias("missing"),
+    )
+
+
 # --- profiling, anonymising, clustering ------------------------------------------------
 
 
@@ -357,7 +383,11 @@ def anonymize_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymize.anonymize(t, [anonymize.Action("day", "date"), anonymize.Action("birth", "dob")])[0]
 
 
-@query()
+def _fnv_hex(x: str) -> str:
+    return f"lpad(lower(to_hex({_FNV.format(x)})), 16, '0')"
+
+
+@query(f"SELECT DISTINCT {_fnv_hex('original_value || anonymized_value')} AS hashed_key, original_value, anonymized_value FROM (SELECT c_name AS original_value, {_fnv_hex('c_name')} AS anonymized_value FROM customer)")
 def anonymize_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymize.anonymize(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), [anonymize.Action("c_name", "hashed_value")])[1]
 
@@ -369,11 +399,19 @@ def clustering_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.correlation(_t(spark, sf_dir, "customer"), ["c_mktsegment"], ["c_nationkey", "c_name"], 3)
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT c_nationkey::VARCHAR AS a, n_name AS b, n_regionkey::VARCHAR AS c, c_mktsegment AS d FROM customer JOIN nation ON c_nationkey = n_nationkey),
+l AS (SELECT 'c_nationkey' AS c1, a AS v1, 'n_name' AS c2, b AS v2 FROM t UNION ALL SELECT 'c_nationkey', a, 'n_regionkey', c FROM t UNION ALL SELECT 'c_nationkey', a, 'c_mktsegment', d FROM t
+UNION ALL SELECT 'n_name', b, 'c_nationkey', a FROM t UNION ALL SELECT 'n_name', b, 'n_regionkey', c FROM t UNION ALL SELECT 'n_name', b, 'c_mktsegment', d FROM t),
+v AS (SELECT c1, v1, c2, count(DISTINCT v2) AS d, count(v2) AS n FROM l GROUP BY ALL), e AS (SELECT c1, c2 FROM v GROUP BY c1, c2 HAVING sum(d) <= 0.3 * sum(n)),
+ways AS (SELECT c1 AS x, c2 AS y FROM e UNION SELECT c2, c1 FROM e), r AS (SELECT x AS root, x AS member FROM ways UNION SELECT r.root, ways.y FROM r JOIN ways ON r.member = ways.x),
+g AS (SELECT root, string_agg(DISTINCT member, ',' ORDER BY member) AS members FROM r GROUP BY root) SELECT root AS column_name, members, 'valid' AS status, 'code' AS data_subclassification FROM g""")
 def clustering_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns with all members of their cluster; edges go both ways between the two that determine, so clusters are the connected columns."""
     t = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    kinds = {"c_nationkey": "code", "n_name": "name", "n_regionkey": "code", "c_mktsegment": "other"}
-    return clustering.clustering(t, kinds, {"code"}, {"code"}, most_ratio=0.3)
+    kinds = {"c_nationkey": "code", "n_name": "name", "n_regionkey": "region", "c_mktsegment": "other"}
+    found = clustering.clustering(t, kinds, {"code", "name"}, {"code", "name"}, tags=("code",), most_ratio=0.3)
+    members = found.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("members"))
+    return found.join(members, "cluster_id").select("column_name", "members", "status", "data_subclassification")
 
 
 # --- sources and sinks ---------------------------------------------------------------------
@@ -411,6 +449,139 @@ def generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.generate(spark, 50, ["a", "b"])
 
 
+# --- configurations: what pipes, channels and operators can name -----------------------------
+
+
+def _built(spark: SparkSession, sf_dir: str, tables: tuple[str, ...], pipes: list[dict[str, Any]], env: dict[str, Any] | None = None, **more: Any) -> dict[str, DataFrame]:
+    return pipeline.build(spark, {"sources": list(tables), "steps": [{"pipes": pipes}], **more}, {n: _t(spark, sf_dir, n) for n in tables}, env)
+
+
+def _fan_out(table: str, *apply: dict[str, Any]) -> list[dict[str, Any]]:
+    return [{"type": "fan_out", "input": table, "apply": list(apply)}]
+
+
+@query(f"SELECT ({_FNV.format('upper(c_name)')} % 16)::VARCHAR AS split_key, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1")
+def splitter_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = [{"name": "n", "type": "count", "expr": "*"}, {"name": "first", "type": "min", "expr": "c_custkey"}]
+    pipes = [{"type": "splitter", "splitter": {"shard_on": {"expr": "c_name", "nbr_partitions": 16}}, "input": "customer", "apply": [{"type": "aggregate", "columns": columns, "output": "out"}]}]
+    return _built(spark, sf_dir, ("customer",), pipes)["out"]
+
+
+@query("""WITH c AS (SELECT c_mktsegment AS split_key, c_nationkey::VARCHAR AS freq_value, count(*) AS freq_count FROM customer GROUP BY ALL),
+r AS (SELECT *, sum(freq_count) OVER (PARTITION BY split_key) AS total, coalesce(sum(freq_count) OVER (PARTITION BY split_key ORDER BY freq_count DESC, freq_value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT split_key, 'c_nationkey' AS column_name, freq_count, freq_value FROM r WHERE before <= total * 40 / 100""")
+def high_freq_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pipes = [{"type": "splitter", "splitter": {"column": "c_mktsegment"}, "input": "customer", "apply": [{"type": "high_freq", "columns": ["c_nationkey"], "top_pct": 40, "output": "out"}]}]
+    return _built(spark, sf_dir, ("customer",), pipes)["out"]
+
+
+@query("""SELECT o_orderstatus AS split_key, sum(k)::BIGINT AS n, max(k) AS most, count(*) AS customers, round(sum(s), 4) AS total FROM (SELECT o_orderstatus, o_custkey, count(*) AS k, sum(o_totalprice) AS s FROM orders GROUP BY ALL) GROUP BY 1""")
+def aggregate_map_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates beside aggregates of aggregates, under a splitter."""
+    reduce = [{"name": "most", "type": "max", "expr": "k"}, {"name": "customers", "type": "count", "expr": "*"}]
+    columns = [{"name": "n", "type": "count", "expr": "*"}, {"type": "map_reduce", "map_on": "o_custkey", "apply_map": [{"name": "k", "type": "count", "expr": "*"}], "apply_reduce": reduce}, {"name": "total", "type": "sum", "expr": "o_totalprice"}]
+    pipes = [{"type": "splitter", "splitter": {"column": "o_orderstatus"}, "input": "orders", "apply": [{"type": "aggregate", "columns": columns, "output": "out"}]}]
+    return _built(spark, sf_dir, ("orders",), pipes)["out"].withColumn("total", F.round("total", 4))
+
+
+@query("SELECT o_orderstatus AS split_key, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) <= 20")
+def sort_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pipes = [{"type": "splitter", "splitter": {"column": "o_orderstatus"}, "input": "orders", "apply": [{"type": "sort", "sort_by": ["o_totalprice", "o_orderkey"], "max_output_records": 20, "output": "out"}]}]
+    return _built(spark, sf_dir, ("orders",), pipes)["out"].select("split_key", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, c_name AS customer, c_acctbal AS balance FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def lookup_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of one look-up, joined once."""
+    at = lambda name, value: {"name": name, "type": "lookup", "lookup_name": "customer", "key": ["o_custkey"], "table_key": ["c_custkey"], "value": value}
+    columns = [chosen("o_orderkey"), at("customer", "c_name"), at("balance", "c_acctbal")]
+    return _built(spark, sf_dir, ("orders", "customer"), _fan_out("orders", {"type": "map_record", "columns": columns, "output": "out"}))["out"]
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 250000")
+def conditional_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A condition over the environment merges a field into one application and replaces another."""
+    when = lambda mode: op("==", col("$MODE"), val(f"'{mode}'"))
+    keep = {"type": "filter", "filter": op(">", col("o_totalprice"), val(1)), "output": "large", "conditional_config": [{"when": when("strict"), "then": {"filter": op(">", col("o_totalprice"), val(250000))}}, {"when": when("other"), "then": {"output": "none"}}]}
+    cut = {"type": "sort", "sort_by": ["o_orderkey"], "max_output_records": 3, "output": "out", "conditional_config": [{"when": when("strict"), "then": {"type": "map_record", "columns": [chosen("o_orderkey"), chosen("o_totalprice")], "output": "out"}}]}
+    return _built(spark, sf_dir, ("orders",), [*_fan_out("orders", keep), *_fan_out("large", cut)], {"MODE": "strict"})["out"]
+
+
+@query(f"SELECT c_custkey, 'cn.' || {_fnv_hex('c_name')} AS c_name, {_fnv_hex('c_mktsegment')} AS c_mktsegment, '' AS c_phone FROM customer")
+def anonymize_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions from a profile's metadata: hidden and de-identified texts, the latter by function or blanked."""
+    t = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_name").alias("c_phone"))
+    meta = lambda *rows: spark.createDataFrame(list(rows), "column_pos int, data_classification string, key_prefix string")
+    first = {"type": "anonymize", "metadata": "names", "texts": ["name"], "output": "hidden"}
+    second = {"type": "anonymize", "metadata": "others", "mode": "de-identification", "texts": ["segment", "phone"], "deid_functions": {"segment": "alphanumeric_hashed_value"}, "output": "out", "keys_output": "keys"}
+    sources = {"in": t, "names": meta((1, "name", "cn")), "others": meta((2, "segment", None), (3, "phone", None))}
+    return pipeline.build(spark, {"sources": list(sources), "steps": [{"pipes": [*_fan_out("in", first), *_fan_out("hidden", second)]}]}, sources)["out"]
+
+
+@query("SELECT o_custkey::VARCHAR AS session, o_orderkey::VARCHAR AS s, CASE WHEN o_totalprice > 400000 AND starts_with(o_orderpriority, '1') THEN 'review' END AS level, CASE WHEN o_totalprice > 400000 THEN 'yes' END AS large FROM orders")
+def rules_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of a configuration, with filters by operator name."""
+    program = [
+        {"name": "large", "when": [["?x", "rdf:type", "Order"], ["?x", "o_totalprice", "?t"]], "where": [">", ["to_double", "?t"], 400000], "then": [["?x", "large", "yes"]]},
+        {"name": "review", "when": [["?x", "large", "yes"], ["?x", "o_orderpriority", "?p"]], "where": ["starts_with", "?p", "'1'"], "then": [["?x", "level", "review"]]},
+    ]
+    rule = {"type": "rules", "session": "o_custkey", "key": "o_orderkey", "class_name": "Order", "rules": program, "extract": [{"class_name": "Order", "properties": ["level", "large"]}], "output": "out"}
+    t = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
+    return pipeline.build(spark, {"sources": ["orders"], "steps": [{"pipes": _fan_out("orders", rule)}]}, {"orders": t})["out"]
+
+
+@query("SELECT c_custkey, upper(c_name) AS name, c_mktsegment FROM customer")
+def partition_writer_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by key with evaluated columns, and read back from the files."""
+    columns = [chosen("c_custkey"), {"name": "name", "type": "map", "expr": "c_name", "map_expr": {"cleansing_function": "to_upper"}}]
+    writer = {"type": "partition_writer", "path": _folder(spark, "writer"), "keys": ["c_mktsegment"], "partition_size": 1000, "columns": columns, "output": "out"}
+    return _built(spark, sf_dir, ("customer",), _fan_out("customer", writer))["out"].select("c_custkey", "name", "c_mktsegment")
+
+
+@query("SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation")
+def merge_files_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One CSV file with headers of its own, read back through a channel that names it."""
+    path = _folder(spark, "merged")
+    narrow = {"type": "map_record", "columns": [chosen("n_nationkey"), chosen("n_name")], "output": "narrow"}
+    _built(spark, sf_dir, ("nation",), [*_fan_out("nation", narrow), {"type": "merge_files", "input": "narrow", "path": path, "format": "csv", "headers": ["key", "name"]}])
+    out = pipeline.build(spark, {"channels": {"merged": {"type": "csv", "path": "$AT", "several_columns": True}}, "steps": []}, {}, {"AT": path})
+    return out["merged"]
+
+
+@query("SELECT event_id, (year(ts) - 1970) * 12 + month(ts) AS period FROM events WHERE (year(ts) - 1970) * 12 + month(ts) BETWEEN 647 AND 649")
+def lookback_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir, "events").select("event_id", dates.month_period(F.col("ts")).cast("long").alias("period"))
+    back = {"type": "lookback", "period_column": "period", "period": "offset:1", "periods": 2, "output": "out"}
+    return pipeline.build(spark, {"sources": ["in"], "steps": [{"pipes": _fan_out("in", back)}]}, {"in": t}, {"PERIOD_ID": 650})["out"]
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders) WHERE k % 25 = 0")
+def sampling_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample = {"type": "sampling", "order": "o_orderkey", "sampling_rate": 25, "output": "out"}
+    return _built(spark, sf_dir, ("orders",), _fan_out("orders", sample))["out"].select("o_orderkey")
+
+
+@query("SELECT count(*) AS rows, NULL::VARCHAR AS a FROM range(70)")
+def generator_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated rows from a channel of the configuration."""
+    count = {"type": "aggregate", "columns": [{"name": "rows", "type": "count", "expr": "*"}, {"name": "a", "type": "max", "expr": "a"}], "output": "out"}
+    return pipeline.build(spark, {"channels": {"empty": {"type": "generator", "rows": "$N", "columns": ["a"]}}, "steps": [{"pipes": _fan_out("empty", count)}]}, {}, {"N": 70})["out"]
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey IS NOT NULL THEN 1 ELSE 0 END AS there, CASE WHEN o_totalprice >= 150000 THEN 1 ELSE 0 END AS large, o_orderdate::DATE AS day, CASE WHEN o_totalprice / 3 * 3 - o_totalprice < 1 THEN 1 ELSE 0 END AS same FROM orders""")
+def expression_operators_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir, "orders").select("*", F.date_format("o_orderdate", "MM/dd/yyyy").alias("text_day"))
+    nodes = {"there": op("IS NOT", col("o_custkey"), val("NULL")), "large": op(">=", col("o_totalprice"), val(150000)), "day": {"op": "TO_DATE", "arg": col("text_day")}, "same": op("<", op("-", op("*", op("/", col("o_totalprice"), val("3.0")), val("3.0")), col("o_totalprice")), val(1))}
+    return transforms.map_record(t, [chosen("o_orderkey"), *(evaluated(k, v) for k, v in nodes.items())])
+
+
+@query("""SELECT c_custkey, trim(c_name) AS trimmed, c_name || c_mktsegment AS joined, string_split(c_name, '#')[1] || '|' || string_split(c_name, '#')[2] AS parts, array_to_string(list_sort(list_transform(list_distinct(string_split(c_mktsegment, 'I')), lambda x: x || '-0')), '|') AS distinct_parts, '2024-03-01' AS day FROM customer""")
+def cleansing_more(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", F.concat(F.lit("  "), "c_name", F.lit(" ")).alias("wide"), F.lit("2024-03-01").alias("day"))
+    f = lambda name, x, arg="": cleansing.cleanse(name, F.col(x), arg)[0]
+    return t.select("c_custkey", f("trim", "wide").alias("trimmed"), f("concat", "c_name", "c_mktsegment").alias("joined"), F.array_join(f("split_on", "c_name", "#"), "|").alias("parts"), F.array_join(F.array_sort(F.array_distinct(f("unique_split_on", "c_mktsegment", "I"))), "|").alias("distinct_parts"), f("validate_date", "day").alias("day"))
+
+
 # --- rules, structured queries, streams -------------------------------------------------------
 
 

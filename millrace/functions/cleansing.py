@@ -117,7 +117,8 @@ def scale_units(x: Column, arg: str) -> Cleansed:
     if arg == "1":
         return _sound(blank_null(d))
     n = d.try_cast("double")
-    return plain(F.ceil(n / float(arg))), n.isNull()
+    up = F.ceil(n / float(arg))
+    return F.when((up == 0) & (n / float(arg) < 0), F.concat(F.lit("-"), plain(up))).otherwise(plain(up)), n.isNull()  # a negative zero keeps its sign
 
 
 def parse_amount(x: Column, arg: str) -> Cleansed:

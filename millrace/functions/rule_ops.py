@@ -34,6 +34,29 @@ def near(a: Column, b: Column) -> Column:
     return (a == b) | (F.abs(a - b) <= F.greatest(F.abs(a), F.abs(b)) * 1e-10)
 
 
+def equal(a: Column, b: Column) -> Column:
+    """Equal, doubles nearly so."""
+    double = F.typeof(a).isin("double", "float") | F.typeof(b).isin("double", "float")
+    return (a == b) | (double & near(a.cast("string").try_cast("double"), b.cast("string").try_cast("double")))
+
+
+def add(a: Column, b: Column, text: bool = False) -> Column:
+    """The sum; with ``text`` one text after the other."""
+    return F.concat(a.cast("string"), b.cast("string")) if text else F.try_add(a, b)
+
+
+def whole(x: Column) -> Column:
+    """Cut towards zero."""
+    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
+
+
+def apply_format(x: Column, how: str) -> Column:
+    """A number by a printf pattern, a date or time by a date pattern."""
+    if "%" in how:
+        return F.format_string(how, x)
+    return F.date_format(x.cast("timestamp"), how)
+
+
 def divide(a: Column, b: Column, integers: bool = False) -> Column:
     """Integers divide to integers; by zero is NaN."""
     q = F.try_divide(a.cast("double"), b.cast("double"))
@@ -64,28 +87,37 @@ def sum_values(values: Column, compat: bool = False) -> Column:
     return F.aggregate(values, start, lambda s, v: s + v.cast(kind))
 
 
+def _is_resource(x: Column) -> Column:
+    """A resource is a struct with one field ``resource`` (``create_resource``); all else is a literal."""
+    return F.typeof(x).startswith("struct<resource:")
+
+
+def resource(x: Column) -> Column:
+    return F.struct(x.cast("string").alias("resource"))
+
+
 BINARY: dict[str, Callable[..., Column]] = {
     ">": lambda a, b: flag(a > b),
     ">=": lambda a, b: flag(a >= b),
     "<": lambda a, b: flag(a < b),
     "<=": lambda a, b: flag(a <= b),
-    "==": lambda a, b: flag(a == b),
-    "!=": lambda a, b: 1 - flag(a == b),
+    "==": lambda a, b: flag(equal(a, b)),
+    "!=": lambda a, b: 1 - flag(equal(a, b)),
     "and": lambda a, b: flag(truth(a) & truth(b) & a.isNotNull() & b.isNotNull()),
     "or": lambda a, b: flag(truth(a) | truth(b)),
-    "+": lambda a, b: F.try_add(a, b),
+    "+": add,
     "-": lambda a, b: F.try_subtract(a, b),
     "*": lambda a, b: F.try_multiply(a, b),
     "/": divide,
-    "min_of": lambda values, _=None: F.array_min(values),
-    "max_of": lambda values, _=None: F.array_max(values),
+    "min_of": lambda a, b=None: F.array_min(a) if b is None else F.least(a, b),
+    "max_of": lambda a, b=None: F.array_max(a) if b is None else F.greatest(a, b),
     "min_head_of": lambda objects, values: head_of(objects, values, True),
     "max_head_of": lambda objects, values: head_of(objects, values, False),
     "sorted_head": lambda objects, values, operator="<": head_of(objects, values, operator == "<"),
     "sum_values": sum_values,
     "literal_regex": lambda x, pattern: F.regexp_extract(x, java_regex(pattern), 0),
     "apply_regex": lambda x, pattern: F.regexp_extract(x, java_regex(pattern), 0),
-    "apply_format": lambda x, how: F.format_string(how, x),
+    "apply_format": apply_format,
     "contains": lambda x, y: flag(F.contains(x, y)),
     "starts_with": lambda x, y: flag(F.startswith(x, y)),
     "ends_with": lambda x, y: flag(F.endswith(x, y)),
@@ -104,7 +136,7 @@ UNARY: dict[str, Callable[..., Column]] = {
     "abs": F.abs,
     "to_upper": F.upper,
     "to_lower": F.lower,
-    "trim": F.trim,
+    "trim": lambda x: F.regexp_replace(x, r"^[\s\u0085\u00a0]+|[\s\u0085\u00a0]+$", ""),
     "length_of": F.octet_length,
     "parse_usd_currency": amount_text,
     "uuid_md5": lambda x, seed=SEED: name_uuid(x, seed, 3),
@@ -120,9 +152,11 @@ UNARY: dict[str, Callable[..., Column]] = {
     "day_period_of": lambda x, compat=False: dates.day_period(x, compat),
     "create_entity": lambda x: F.coalesce(F.nullif(x.cast("string"), F.lit("")), F.expr("uuid()")),
     "create_literal": lambda x: x,
-    "create_resource": lambda x: x.cast("string"),
-    "create_uuid_resource": lambda x=None: F.expr("uuid()"),
+    "create_resource": resource,
+    "create_uuid_resource": lambda x=None: resource(F.expr("uuid()")),
     "is_null": lambda x: flag(x.isNull()),
+    "is_literal": lambda x: flag(x.isNotNull() & ~_is_resource(x)),
+    "is_resource": lambda x: flag(x.isNotNull() & _is_resource(x)),
     "raise_exception": lambda x: F.raise_error(x),
 }
 
@@ -135,6 +169,34 @@ def multi_lookup(df: DataFrame, table: DataFrame, keys: list[str], table_keys: l
     return keyed.join(own, ks, "left").drop(*ks)
 
 
+#: Operators whose second argument is a constant, not a column.
+_CONSTANT = ("literal_regex", "apply_regex", "apply_format", "replace_char_of", "substring_of")
+
+
+def compiled(node: object, at: Callable[[str], Column]) -> Column:
+    """A filter or consequent from a configuration: ``[operator, argument, ...]``, ``?variable``, ``'text'``, or a number."""
+    if isinstance(node, (list, tuple)):
+        name, *args = node
+        if name not in BINARY and name not in UNARY:
+            raise ValueError(f"unknown rule operator: {name}")
+        first = compiled(args[0], at) if args else F.lit(None)
+        if name in _CONSTANT:
+            return BINARY[name](first, *args[1:])
+        if name == "+" and any(isinstance(x, str) and x.startswith("'") for x in args):
+            return add(*(compiled(x, at) for x in args), text=True)
+        f = BINARY[name] if len(args) > 1 else UNARY.get(name) or BINARY[name]
+        return f(first, *(compiled(x, at) for x in args[1:]))
+    if isinstance(node, str):
+        return at(node) if node.startswith("?") else F.lit(node.strip("'"))
+    return F.lit(node)
+
+
+def multi_lookup_rand(df: DataFrame, table: DataFrame, key: str, name: str = "found", seed: int | None = None) -> DataFrame:
+    """All rows of a look-up table that have the key of a random row of it, for each row."""
+    drawn = lookup_rand(df, table.select(key), "_drawn", seed).withColumn("_key", F.col(f"_drawn.{key}")).drop("_drawn")
+    return multi_lookup(drawn, table, ["_key"], [key], name).drop("_key")
+
+
 def lookup_rand(df: DataFrame, table: DataFrame, name: str = "found", seed: int | None = None) -> DataFrame:
     """A random row of a look-up table for each row."""
     n = table.count()

@@ -21,39 +21,51 @@ def correlation(df: DataFrame, columns1: list[str], columns2: list[str], least2:
     return sums.where(F.col("observations") >= least1)
 
 
-def merge_edges(edges: list[tuple[str, str, int, int]], transitive: set[str]) -> dict[str, int]:
-    """Cluster number of each column. Edges (column1, column2, distinct2, observations) are taken from the strongest; clusters join only through transitive columns."""
-    cluster: dict[str, int] = {}
-    members: dict[int, list[str]] = {}
-    for a, b, _, _ in sorted(edges, key=lambda e: (e[2] / e[3] if e[3] else 1.0, e[0], e[1])):
-        x, y = cluster.get(a), cluster.get(b)
-        if x is None and y is None:
-            k = len(members)
-            members[k] = [a, b]
-            cluster[a] = cluster[b] = k
-        elif x is None or y is None:
-            new, old = (a, b) if x is None else (b, a)
-            if old in transitive:
-                cluster[new] = cluster[old]
-                members[cluster[old]].append(new)
-        elif x != y and a in transitive and b in transitive:
-            for c in members.pop(y):
-                cluster[c] = x
-                members[x].append(c)
-    return cluster
-
-
-def clustering(df: DataFrame, classification: dict[str, str], determining: set[str], transitive: set[str], least2: int = 0, least1: int = 0, most_ratio: float = 1.0) -> DataFrame:
-    """(cluster_id, column_name, status, data_subclassification) of every classified column; ``most_ratio`` of distinct values to observations still counts as determined."""
+def merge_edges(edges: list[tuple[str, str, int, int]], transitive: set[str], tagged: set[str] = frozenset()) -> list[list[str]]:
+    """The clusters, each a list of its columns. Edges (column1, column2, distinct2, observations) are taken from the strongest.
+
+    Column 2 joins the cluster of column 1. If it is transitive and has a
+    cluster of its own, the two become one, unless that would use up the last
+    cluster without a tagged column; then the structure is complete. The first
+    tenth of the edges always merge. A column that isn't transitive can be in
+    several clusters.
+    """
+    clusters: list[list[str]] = []
+    home = lambda c: next((m for m in clusters if c in m), None)
+    plain = lambda m: tagged.isdisjoint(m)
+    strongest = sorted(edges, key=lambda e: (e[2] / e[3] if e[3] else 1.0, e[0], e[1]))
+    for k, (a, b, _, _) in enumerate(strongest):
+        own = home(a) or [a]
+        clusters = [m for m in clusters if m is not own]
+        other = home(b) if b in transitive else None
+        if other is None:
+            own += [b] if b not in own else []
+        else:
+            spare = plain(own) == plain(other) or any(plain(m) for m in clusters if m is not other)
+            if 10 * k >= len(strongest) and not spare:
+                return [*clusters, own]
+            own += [c for c in other if c not in own]
+            clusters = [m for m in clusters if m is not other]
+        clusters.append(own)
+    return clusters
+
+
+def clustering(df: DataFrame, classification: dict[str, str], determining: set[str], transitive: set[str], tags: tuple[str, ...] = (), solo: tuple[str, ...] = (), least2: int = 0, least1: int = 0, most_ratio: float = 1.0) -> DataFrame:
+    """(cluster_id, column_name, status, data_subclassification) of every column in a cluster.
+
+    ``determining``, ``transitive``, ``tags`` and ``solo`` are classifications:
+    of columns that may determine others, through which clusters join, that
+    name a cluster, and that name a cluster of one column. ``most_ratio`` of
+    distinct values to observations still counts as determined.
+    """
     columns = sorted(classification)
     found = correlation(df, [c for c in columns if classification[c] in determining], columns, least2, least1)
     edges = [(r["column1"], r["column2"], r["distinct2"], r["observations"]) for r in found.collect() if r["distinct2"] <= most_ratio * r["observations"]]
-    cluster = merge_edges(edges, {c for c in columns if classification[c] in transitive})
-    numbers = {c: cluster.get(c, len(columns) + k) for k, c in enumerate(columns)}
-    renumbered = {k: i for i, k in enumerate(dict.fromkeys(numbers[c] for c in columns))}
-    sizes: dict[int, int] = {}
-    for c in columns:
-        sizes[numbers[c]] = sizes.get(numbers[c], 0) + 1
-    status = "valid" if any(n > 1 for n in sizes.values()) else "invalid"
-    rows = [(renumbered[numbers[c]], c, status, classification[c] if sizes[numbers[c]] > 1 else "__SOLO__") for c in columns]
-    return df.sparkSession.createDataFrame(rows, "cluster_id int, column_name string, status string, data_subclassification string")
+    clusters = merge_edges(edges, {c for c in columns if classification[c] in transitive}, {c for c in columns if classification[c] in tags})
+    status = "valid" if any(len(m) > 1 for m in clusters) else "invalid"
+    rows = []
+    for k, members in enumerate(clusters):
+        named = [classification[c] for c in sorted(members) if classification[c] in (solo if len(members) == 1 else tags)]
+        sub = named[0] if named and status == "valid" else ("__SOLO__" if len(members) == 1 else "")
+        rows += [(f"cluster{k}", c, status, sub) for c in members]
+    return df.sparkSession.createDataFrame(rows, "cluster_id string, column_name string, status string, data_subclassification string")

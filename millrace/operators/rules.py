@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rule_ops import compiled, truth
 from ..storage import stored
 
 Vars = dict[str, Column]
@@ -59,6 +60,24 @@ class Rule:
         object.__setattr__(self, "variables", tuple(sorted(bound)))
 
 
+def from_config(rules: list[dict]) -> list[Rule]:
+    """Rules from a configuration: ``{"name", "when": [[s, p, o], ["not", s, p, o]], "where": filter, "then": [[s, p, o]], "salience"}``.
+
+    Terms that are lists, and the filter, are operators of ``rule_ops`` by
+    name: ``[">", ["to_double", "?t"], 400000]``.
+    """
+
+    def term(t: object) -> Term:
+        return t if isinstance(t, str) else (lambda at: compiled(t, at.__getitem__))
+
+    out = []
+    for r in rules:
+        when = tuple(Match(*m[1:], negated=True) if m[0] == "not" and len(m) == 4 else Match(*m) for m in r["when"])
+        where = (lambda at, node=r["where"]: truth(compiled(node, at.__getitem__))) if r.get("where") else None
+        out.append(Rule(r["name"], when, tuple((term(s), p, term(o)) for s, p, o in r["then"]), where, r.get("salience", 100)))
+    return out
+
+
 def strata(rules: list[Rule]) -> list[list[Rule]]:
     """Rules in groups, each complete before the next; by salience within a group."""
     made = {p for r in rules for _, p, _ in r.then}
@@ -126,12 +145,15 @@ def infer(facts: DataFrame, rules: list[Rule], most_rounds: int = 10_000) -> Dat
         return out
 
     for group in strata(rules):
+        named = {m.p for r in group for m in r.when if not m.p.startswith("?")}
+        every = any(m.p.startswith("?") for r in group for m in r.when)
+        mine = lambda df, named=named, every=every: df if every else df.where(F.col("p").isin(sorted(named)))
         fresh = everything = known()
         for _ in range(most_rounds):
             made: DataFrame | None = None
             for r in group:
                 for place in range(sum(not m.negated for m in r.when)):
-                    own = _fire(r, everything, fresh, place)
+                    own = _fire(r, mine(everything), mine(fresh), place)
                     made = own if made is None else made.union(own)
             fresh = stored(full(made).join(everything, list(_FACT), "left_anti"), "inferred")
             if fresh.isEmpty():

@@ -1,8 +1,9 @@
 """Column evaluators: how one output column comes from an input row, or from a group.
 
-Row evaluators: select, multi_select, value, eval, map, case, hash, lookup.
-Aggregates: count, distinct_count, sum, min, max, avg, avrg; map_reduce makes
-aggregates of aggregates.
+Row evaluators: select, multi_select, value, eval, map, case, hash. Aggregates:
+count, distinct_count, sum, min, max, avg. Three kinds need more than a column
+and are made by the operators that use them: lookup (a join), avrg (the order
+of rows) and map_reduce (aggregates of aggregates).
 """
 
 from __future__ import annotations
@@ -78,11 +79,12 @@ def row_columns(spec: dict[str, Any], schema: StructType, env: dict[str, Any] |
             out[n] = col if last is None else col.otherwise(last)
         return list(out.items()), None
     if kind == "hash":
-        return [(name, _hashed(spec["hash_expr"], schema))], None
+        return [(name, hashed(spec["hash_expr"], schema))], None
     raise ValueError(f"unknown column type: {kind}")
 
 
-def _hashed(h: dict[str, Any], schema: StructType) -> Column:
+def hashed(h: dict[str, Any], schema: StructType) -> Column:
+    """The partition, or domain key, of a ``hash_expr``."""
     given = [k for k in ("expr", "composite_expr", "domain_key") if h.get(k)]
     if len(given) != 1:
         raise ValueError("a hash needs one of expr, composite_expr and domain_key")
@@ -101,25 +103,23 @@ def _hashed(h: dict[str, Any], schema: StructType) -> Column:
     return partition_of(key, h["nbr_partitions"], integer)
 
 
-def aggregate(spec: dict[str, Any], schema: StructType, env: dict[str, Any] | None = None, order: str | None = None) -> Column:
-    """One aggregate; ``where`` limits its rows. ``avrg`` needs an order column."""
+def aggregate(spec: dict[str, Any], schema: StructType, env: dict[str, Any] | None = None) -> Column:
+    """One aggregate; ``where`` limits its rows. ``avrg`` isn't one: it depends on the order of rows (``transforms.blended``)."""
     kind, where = spec["type"], truth(compile_expression(spec["where"], schema, env)) if spec.get("where") else F.lit(True)
     if kind == "count":
         own = where if spec["expr"] == "*" else where & F.col(f"`{spec['expr']}`").isNotNull()
         return F.nullif(F.count_if(own), F.lit(0).cast("long"))
-    e = _input(spec, schema)
-    x = F.when(where, e.col)
+    x = values_of(spec, schema, env)
     if kind == "distinct_count":
         return F.count_distinct(x.cast("string"))
     if kind == "sum":
-        return F.sum(x.try_cast("double") if e.kind == "string" else x)
+        return F.sum(x.try_cast("double") if _input(spec, schema).kind == "string" else x)
     if kind in ("min", "max", "avg"):
         return getattr(F, kind)(x)
-    if kind == "avrg":
-        if not order:
-            raise ValueError("avrg depends on the order of rows: name an order column")
-        rows = F.sort_array(F.collect_list(F.when(where & e.col.isNotNull(), F.struct(F.col(order).alias("o"), e.col.cast("double").alias("x")))))
-        start = F.struct(F.lit(0.0).alias("v"), F.lit(0).alias("n"))
-        step = lambda s, r: F.struct((s["v"] + (r["x"] - s["v"]) * 2 / (s["n"] + 2)).alias("v"), (s["n"] + 1).alias("n"))
-        return F.aggregate(rows, start, step, lambda s: F.when(s["n"] > 0, s["v"]))
     raise ValueError(f"unknown aggregate: {kind}")
+
+
+def values_of(spec: dict[str, Any], schema: StructType, env: dict[str, Any] | None = None) -> Column:
+    """The values that an aggregate takes: null where its ``where`` doesn't hold."""
+    where = truth(compile_expression(spec["where"], schema, env)) if spec.get("where") else F.lit(True)
+    return F.when(where, _input(spec, schema).col)

@@ -33,9 +33,23 @@ def unique_headers(names: list[str]) -> list[str]:
 
 
 def first_bytes(spark: SparkSession, path: str, most: int = 1 << 16) -> bytes:
-    """The first bytes of the first file at ``path``."""
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, most).alias("b")).first()
-    return bytes(head["b"]) if head else b""
+    """The first bytes of the first file at ``path``, which is listed and read alone, whatever the size of the files."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(conf)
+    found = []
+    for s in store.globStatus(at) or []:
+        found += list(store.listStatus(s.getPath())) if s.isDirectory() else [s]
+    names = sorted((str(s.getPath()), s.getLen()) for s in found if not s.isDirectory() and s.getPath().getName()[0] not in "._")
+    names = [n for n, size in names if size] or [n for n, _ in names]
+    if not names:
+        return b""
+    stream = store.open(jvm.org.apache.hadoop.fs.Path(names[0]))
+    try:
+        bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, most)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
+    finally:
+        stream.close()
 
 
 def detect_encoding(head: bytes) -> str:
@@ -117,6 +131,25 @@ def read_fixed_width(spark: SparkSession, path: str, layout: list[Field], type_a
     return (lines.where(kind.isin(known)) if type_at else lines).select(*columns)
 
 
+def fields_of(widths: dict[str, int]) -> list[Field]:
+    """A layout of one field after the other."""
+    out, at = [], 0
+    for name, n in widths.items():
+        out.append(Field(name, at, at + n))
+        at += n
+    return out
+
+
+def several_columns(df: DataFrame) -> DataFrame:
+    """``df``, or an error where rows of several columns have a value in the first one only: the delimiter is likely another."""
+    if len(df.columns) > 1:
+        rest = F.coalesce(*(F.col(f"`{c}`").cast("string") for c in df.columns[1:]))
+        rows, more = df.select(F.count(F.lit(1)), F.count(rest)).first()
+        if rows and not more:
+            raise ValueError(f"all rows have one column of {len(df.columns)}: is the delimiter right?")
+    return df
+
+
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None, trim: bool = True) -> DataFrame:
     df = spark.read.parquet(path)
     df = df.select(*columns) if columns else df

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import parse_date
+from ..storage import drop, stored
+
 
 def write_partitions(df: DataFrame, path: str, keys: list[str], kind: str = "parquet", rows_each: int = 0, **options: object) -> None:
     """A folder for each key, its files at most ``rows_each`` rows; rows are dealt so that a hot key still has many writers."""
@@ -25,9 +28,54 @@ def write_fixed_width(df: DataFrame, path: str, widths: dict[str, int]) -> None:
     fixed_width_lines(df, widths).write.mode("overwrite").text(path)
 
 
-def merge_files(df: DataFrame, path: str, kind: str = "csv", **options: object) -> None:
-    """One output file; an export for a reader that takes one, not a step within a plan."""
-    df.coalesce(1).write.mode("overwrite").format(kind).options(**{k: str(v) for k, v in options.items()}).save(path)
+def merge_files(df: DataFrame, path: str, kind: str = "csv", header: bool = True, headers: list[str] | None = None, **options: object) -> None:
+    """One output file of all rows; an export for a reader that takes one, not a step within a plan.
+
+    The rows are written in parallel first and read back, so that only the
+    last copy runs in one task. Text has one header line, ``headers`` if given,
+    for other kinds there is none.
+    """
+    spark = df.sparkSession
+    parts = stored(df.toDF(*headers) if headers else df, "merge")
+    own = {"header": header, **options} if kind == "csv" else options
+    parts.coalesce(1).write.mode("overwrite").format(kind).options(**{k: str(v) for k, v in own.items()}).save(path)
+    drop(spark, parts)
+
+
+def coerced(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Columns cast to the types of a Parquet schema; what doesn't fit becomes null. Lists of one value are that value."""
+    out = {}
+    for f in df.schema:
+        if f.name in types:
+            c = F.col(f"`{f.name}`")
+            if f.dataType.typeName() == "array" and not types[f.name].startswith("array"):
+                c = F.get(c, F.lit(0))
+            if types[f.name] == "date" and f.dataType.typeName() == "string":
+                out[f.name] = parse_date(c)
+            else:
+                out[f.name] = c.cast("string").try_cast(types[f.name]) if types[f.name] != "string" else c.cast("string")
+    return df.withColumns(out)
+
+
+def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """A report's rows as CSV with a header, JSON lines or Parquet."""
+    if kind not in ("csv", "json", "parquet"):
+        raise ValueError(f"unknown report format: {kind}")
+    df.write.mode("overwrite").format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(path)
+
+
+def write_column_list(spark: SparkSession, columns: list[str], path: str) -> None:
+    """A quoted header line in a file of its own."""
+    line = ",".join('"' + c.replace('"', '""') + '"' for c in columns)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def copy_files(spark: SparkSession, source: str, target: str) -> None:
+    """A file or folder copied from one store to another, by Hadoop's own file systems."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf):
+        raise OSError(f"not copied: {source}")
 
 
 def write_table(df: DataFrame, name: str, most_new: int = 20) -> None:

@@ -17,13 +17,27 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder. A temporary one stands in where none is set, in local mode only: executors elsewhere couldn't read it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return (at or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="spark-millrace-"))).rstrip("/")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "dir" not in _OWN:
+        _OWN["dir"] = tempfile.mkdtemp(prefix="spark-millrace-")
+    return _OWN["dir"]
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes the files of stored tables that no plan reads any more."""
+    for t in tables:
+        for f in {f.rsplit("/", 1)[0] for f in t.inputFiles() if "/millrace/" in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back."""
+    """``df`` written once to the shared folder and read back. ``drop`` removes it; what is left there is in ``millrace/`` and may be cleared when the session has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)

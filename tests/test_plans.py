@@ -118,8 +118,21 @@ def test_anonymize(spark):
 
 def test_clusters():
     edges = [("a", "b", 1, 100), ("c", "d", 2, 100), ("a", "c", 50, 100), ("b", "e", 60, 100)]
-    own = clustering.merge_edges(edges, {"a", "c"})
-    assert own["a"] == own["b"] == own["c"] == own["d"] and "e" not in own
+    own = {frozenset(m) for m in clustering.merge_edges(edges, {"a", "c"})}
+    assert own == {frozenset("abcde")}
+    # clusters that were emptied by a merge don't lend their place to later ones
+    own = [set(m) for m in clustering.merge_edges([("a", "b", 1, 100), ("c", "d", 2, 100), ("c", "a", 3, 100), ("e", "f", 4, 100)], {"a", "c"})]
+    assert sorted(map(sorted, own)) == [["a", "b", "c", "d"], ["e", "f"]]
+
+
+@pytest.mark.parametrize("tagged, merged", [({"a", "c"}, True), (set(), True), ({"a"}, False), ({"a", "x"}, False)])
+def test_a_merge_leaves_a_cluster_without_tags(tagged, merged):
+    """Ten edges before it, so that the first tenth's rule doesn't hold for the last."""
+    edges = [("a", f"a{k}", 1, 100) for k in range(5)] + [("c", f"c{k}", 1, 100) for k in range(6)] + [("a", "c", 50, 100)]
+    own = clustering.merge_edges(edges, {"a", "c"}, tagged)
+    assert (len(own) == 1) == merged
+    spare = clustering.merge_edges([*edges[:-1], ("p", "q", 2, 100), edges[-1]], {"a", "c"}, tagged)
+    assert any({"a", "c"} <= set(m) for m in spare)
 
 
 def test_rules_chain_negate_and_recur(spark):
@@ -206,3 +219,117 @@ def test_shuffling(spark):
     out = transforms.shuffling(df, 10, 50, seed=1)
     assert out.count() == 50 and out.select("a").distinct().count() > 3
     assert transforms.shuffling(df.limit(0), 10, 50).count() == 0
+
+
+def test_splitter_refuses_what_it_cannot_cut(spark):
+    df = spark.createDataFrame([(1, "a")], "x int, k string")
+    for bad in ({"type": "shuffling", "output": "o"}, {"type": "merge", "output": "o"}):
+        with pytest.raises(ValueError):
+            pipeline.validate({"sources": ["in"], "steps": [{"pipes": [{"type": "splitter", "splitter": {"column": "k"}, "input": "in", "apply": [bad]}]}]})
+    with pytest.raises(ValueError):
+        pipeline.validate({"sources": ["in"], "steps": [{"pipes": [{"type": "splitter", "splitter": {}, "input": "in", "apply": []}]}]})
+    pipes = lambda s, a: {"sources": ["in"], "steps": [{"pipes": [{"type": "splitter", "splitter": s, "input": "in", "apply": [a]}]}]}
+    many = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(50)], "x int, k string")
+    few = pipeline.build(spark, pipes({"column": "k"}, {"type": "filter", "max_output_records": 3, "output": "o"}), {"in": many})["o"]
+    assert sorted(r["k"] for r in few.collect()) == ["a"] * 3 + ["b"] * 3
+    all_rows = pipeline.build(spark, pipes({"column": "k"}, {"type": "filter", "max_output_records": 0, "output": "o"}), {"in": many})["o"]
+    assert all_rows.count() == 50
+    profile_rows = pipeline.build(spark, pipes({"column": "k"}, {"type": "analyze", "output": "o"}), {"in": many})["o"].collect()
+    assert {(r["split_key"], r["column_name"], r["total_count"]) for r in profile_rows} >= {("a", "x", 25), ("b", "x", 25)}
+
+
+def test_numbers_within_ranges(spark, monkeypatch):
+    rng = __import__("random").Random(4)
+    rows = [(x, None if rng.random() < 0.3 else "hot") for x in rng.sample(range(1000), 400)]
+    df = spark.createDataFrame(rows, "x int, k string").repartition(3)
+    got = {(r["k"], r["x"]): r["_n"] for r in transforms.numbered(df, "x", within=["k"], rows=20).collect()}
+    for key in (None, "hot"):
+        own = sorted(x for x, k in rows if k == key)
+        assert [got[key, x] for x in own] == list(range(len(own)))
+    monkeypatch.setattr(transforms, "RANGE_ROWS", 20)
+    blend, k = 0.0, 0
+    for x, _ in sorted(rows):
+        k += 1
+        blend += (x - blend) * 2 / (k + 1)
+    out = transforms.aggregate_rows(df, [{"name": "b", "type": "avrg", "expr": "x"}, {"name": "n", "type": "count", "expr": "*"}], order="x").first()
+    assert out["b"] == pytest.approx(blend) and out["n"] == 400
+    runs = spark.createDataFrame([(k, k // 7 % 3) for k in range(200)], "seq int, key int").repartition(3)
+    assert sorted(len(r["rows"]) for r in transforms.group_by(runs, "seq", ["key"], consecutive=True).collect()) == [4] + [7] * 28
+    values = [(str(v),) for v in range(30) for _ in range(1 + v % 4)]
+    kept = {r["freq_value"] for r in transforms.high_freq(spark.createDataFrame(values, "v string"), ["v"], 37).collect()}
+    counts = sorted(((-(1 + v % 4), str(v)) for v in range(30)))
+    total, before, want = len(values), 0, set()
+    for n, v in counts:
+        if before <= total * 37 / 100:
+            want.add(v)
+        before -= n
+    assert kept == want
+
+
+def test_record_class_key_and_errors(spark):
+    df = spark.createDataFrame([("1", None), ("1", ""), ("1", None)], "a string, b string")
+    out = transforms.map_record(df, [{"name": "a", "type": "select", "expr": "a"}], class_name="Claim", row_key="jets:key").collect()
+    assert out[0]["rdf:type"] == ["Claim"] and out[0]["jets:key"] == out[2]["jets:key"] != out[1]["jets:key"]
+    bad = spark.createDataFrame([("12",)], "phone string")
+    spec = {"name": "p", "type": "map", "expr": "phone", "map_expr": {"cleansing_function": "format_phone"}}
+    with pytest.raises(Exception, match="column in error"):
+        transforms.map_record(bad, [spec], fail_on_error=True).collect()
+
+
+def test_map_reduce_keeps_keys_and_takes_alternates(spark):
+    df = spark.createDataFrame([("a", None, "x"), ("b", "1", "x"), ("b", "1", "y"), ("b", None, "z")], "k string, m string, alt string")
+    spec = [{"type": "map_reduce", "map_on": "m", "apply_map": [{"name": "n", "type": "count", "expr": "*"}], "apply_reduce": [{"name": "keys", "type": "count", "expr": "*"}]}]
+    assert {r["k"]: r["keys"] for r in transforms.aggregate_rows(df, spec, ["k"]).collect()} == {"a": None, "b": 1}
+    spec[0]["alternate_map_on"] = ["alt"]
+    assert {r["k"]: r["keys"] for r in transforms.aggregate_rows(df, spec, ["k"]).collect()} == {"a": 1, "b": 2}
+
+
+def test_deidentification(spark):
+    df = spark.createDataFrame([("Ann", "123"), (None, "9")], "name string, id string")
+    table = spark.createDataFrame([("1", "x7y")], "key string, v string")
+    a = anonymize.Action
+    out = anonymize.anonymize(df, [a("name", "blank"), a("id", "lookup", table=table, table_column="v", table_key="key")])[0].collect()
+    assert [tuple(r) for r in out] == [("", "7"), (None, "7")]
+    actions = anonymize.actions_from_metadata(["name", "id"], [{"column_pos": "1", "data_classification": "id", "numeric_pct": "97"}], {"id"}, {}, deid_functions={"id": "hashed_value"}, deid=True)
+    assert [(x.column, x.how) for x in actions] == [("id", "numeric_hashed_value")]
+    assert anonymize.widened({"name": 5, "id": 30}, [a("name", "text", "p"), a("id", "text")]) == {"name": 28, "id": 30}
+
+
+def test_profile_details(spark):
+    with pytest.raises(ValueError):
+        profile.analyze(spark.createDataFrame([], "x int"))
+    df = spark.createDataFrame([("2024-01-02", "NEW YORK", 5e10), ("2024-02-03", "YORK N", 1.0), ("01/02/2024", "PARIS", 2.0)], "d string, city string, x double")
+    names = spark.createDataFrame([("New",), ("York",)], "w string")
+    got = {r["column_name"]: r for r in profile.analyze(df, profile.Profile(lookups={"city": names}, name_tokens=(("cit", "place"), ("d", "day")))).collect()}
+    assert got["d"]["date_formats"] == "yyyy-MM-dd,MM/dd/yyyy" and got["x"]["large_double_pct"] == pytest.approx(100 / 3, abs=1e-5)
+    assert got["city"]["city_pct"] == pytest.approx(200 / 3, abs=1e-5) and (got["city"]["name_token"], got["d"]["name_token"]) == ("place", "day")
+
+
+def test_rule_functions(spark):
+    from millrace.functions import rule_ops
+
+    b, u = rule_ops.BINARY, rule_ops.UNARY
+    r = spark.range(1).select(
+        b["=="](F.lit(0.1) + F.lit(0.2).cast("double"), F.lit(0.3).cast("double")).alias("near"), b["=="](F.lit("a"), F.lit("b")).alias("text"), b["+"](F.lit("a"), F.lit("b"), True).alias("joined"), b["apply_format"](F.lit(date(2024, 3, 1)), "MM/dd/yyyy").alias("day"), b["apply_format"](F.lit(7), "%03d").alias("number"),
+        u["trim"](F.lit("\t\n a b \u00a0")).alias("trimmed"), u["is_resource"](u["create_resource"](F.lit("x"))).alias("resource"), u["is_literal"](F.lit("x")).alias("literal"),
+    ).first()
+    assert tuple(r) == (1, 0, "ab", "03/01/2024", "007", "a b", 1, 1)
+    table = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    found = rule_ops.multi_lookup_rand(spark.range(5).toDF("id"), table, "k", seed=1).collect()
+    assert all(len(x["found"]) == (2 if x["found"][0]["k"] == "a" else 1) for x in found)
+    with pytest.raises(ValueError):
+        rules.from_config([{"name": "r", "when": [["?x", "p", "?y"]], "where": ["no such", "?y"], "then": [["?x", "q", "1"]]}])[0].where({"?y": F.lit(1)})
+
+
+def test_files_in_and_out(spark, tmp_path):
+    df = spark.createDataFrame([("1", "x"), ("2", "y")], "a string, b string")
+    writers.write_report(df, str(tmp_path / "r"), "csv")
+    assert sorted(r["b"] for r in readers.read_csv(spark, str(tmp_path / "r"))[0].collect()) == ["x", "y"]
+    with pytest.raises(ValueError):
+        readers.several_columns(spark.createDataFrame([("1,x", None)], "a string, b string"))
+    got = writers.coerced(spark.createDataFrame([("12", ["7", "8"], "03/01/2024", "x")], "n string, l array<string>, d string, bad string"), {"n": "int", "l": "int", "d": "date", "bad": "double"}).first()
+    assert tuple(got) == (12, 7, date(2024, 3, 1), None)
+    writers.write_column_list(spark, ["a", 'b"c'], str(tmp_path / "list"))
+    assert spark.read.text(str(tmp_path / "list")).first()[0] == '"a","b""c"'
+    writers.copy_files(spark, str(tmp_path / "r"), str(tmp_path / "s"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "s")).count() == 2
