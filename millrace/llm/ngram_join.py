@@ -17,6 +17,11 @@ similarity of their sets is 0.8 or more.
    taken from the answers of the similar set: pairs inside a component
    need no comparison, and a group of thousands of near copies costs one
    comparison each. A second round takes a pivot outside the first's component.
+   From then on answers are derived before anything is compared: if a is linked
+   to p at distance x (1 - similarity, a metric) and b is known to be at least
+   y from p, then a and b are at least y - x apart, and over 0.2 they are none.
+   Lists that hold much of the corpus (``HOT`` sets) are dealt by salt and
+   their minima and pivots taken in two steps, never in one task.
 4. What is left are lists that hold several components. They are joined in
    blocks by size band, and places are used to skip: with ``r`` shingles left
    from its place on, a set reaches only partners of up to ``2.25 r - n``
@@ -24,15 +29,18 @@ similarity of their sets is 0.8 or more.
 5. Every candidate pair is first compared on sketches: ``SKETCH`` bits, each
    the parity of the number of elements that hash to it. Sets of a and b
    elements that are linked differ in (a + b) / 9 elements at most, and
-   sketches differ in no more bits than sets in elements; so the rest can go.
-   Those that stay are compared on the full sets.
+   sketches differ in no more bits than sets in elements; so the rest can go,
+   with what the bits say of their distance. Those that stay are compared on
+   the full sets.
 
 Nothing is capped: lists are joined by Spark, which splits hot ones. Sets are
-built again for the texts of candidate pairs only, found by a bitmap of
-``BITMAP`` bits whatever the corpus size; a false hit costs time, no result.
+built again for the texts of candidate pairs only, found by a bitmap with
+``SPARE`` bits for each, or by a join where that would be over ``BITMAP`` bits; a
+false hit costs time, no result.
 
 Null and empty texts have no shingles and no links, rows with a null id none
-but those of copies. Repeated rows are one class. Ties in order are broken by hash. An empty table gives an empty result.
+but those of copies. Very long texts are sets like others. Repeated rows are one
+class. Ties in order are broken by hash. An empty table gives an empty result.
 Further columns aren't read.
 """
 
@@ -43,7 +51,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,8 +60,10 @@ from .tables import stored
 from .textkit import mix, slices, word_hashes
 
 WORDS = 5
-#: Bounds: shingles that are ordered by frequency; bits of the text filter.
-FREQUENT, BITMAP = 100_000, 1 << 23
+#: Bounds: shingles that are ordered by frequency; most bits of the text filter, and its bits for each text.
+FREQUENT, BITMAP, SPARE = 100_000, 1 << 26, 16
+#: A shingle counted so often is hot: its list is dealt to ``SALTS`` parts.
+HOT, SALTS = 2000, 64
 #: Bits of a set's sketch.
 SKETCH = 2048
 #: Rounds of comparison with pivots.
@@ -149,8 +159,8 @@ def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarra
     return np.concatenate([rare, own[late[np.argsort(rank[at[late]], kind="stable")]]])[:p]
 
 
-def _index(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(token, key, n, place) of each set's indexed places. A set that a task has seen before is left out there."""
+def _index(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """(token, salt, key, n, place) of each set's indexed places; only hot tokens have a salt. A set that a task has seen before is left out there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -167,16 +177,25 @@ def _index(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray) -
                     parts.append((p, np.full(len(p), key), np.full(len(p), len(own), np.int32), np.arange(len(p), dtype=np.int32)))
                 if parts:
                     token, key, n, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(token)), pa.array(key), pa.array(n), pa.array(place)], ["token", "key", "n", "place"])
+                    salt = np.where(np.isin(token, hot), 1 + key % SALTS, 0).astype(np.int8)
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(token)), pa.array(salt), pa.array(key), pa.array(n), pa.array(place)], ["token", "salt", "key", "n", "place"])
 
-    return docs.select(text).mapInArrow(run, "token long, key long, n int, place int")
+    return docs.select(text).mapInArrow(run, "token long, salt byte, key long, n int, place int")
 
 
-def bitmap(ids: DataFrame, id: str) -> np.ndarray:
-    """A fixed-size bitmap of the ids' hashes, in 64-bit words."""
-    h = F.pmod(F.xxhash64(id), F.lit(BITMAP))
-    words = ids.select(F.shiftright(h, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{id}`), {BITMAP}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(BITMAP >> 6, np.int64)
+def over_lists(rows: DataFrame, **aggregates: Column) -> DataFrame:
+    """``rows`` with aggregates of their lists: by windows, those of hot lists by an aggregate that Spark combines before it moves rows, and a join."""
+    cold = rows.where("salt = 0").select("*", *(a.over(W.partitionBy("token")).alias(n) for n, a in aggregates.items()))
+    hot = rows.where("salt > 0")
+    found = hot.groupBy("token").agg(*(a.alias(n) for n, a in aggregates.items()))
+    return cold.unionByName(hot.join(found, "token"))
+
+
+def bitmap(ids: DataFrame, id: str, bits: int) -> np.ndarray:
+    """A bitmap of the ids' hashes, in 64-bit words."""
+    h = F.pmod(F.xxhash64(id), F.lit(bits))
+    words = ids.select(F.shiftright(h, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{id}`), {bits}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(bits >> 6, np.int64)
     for r in words.toLocalIterator():
         out[r["w"]] = r["bits"]
     return out.view(np.uint64)
@@ -184,54 +203,71 @@ def bitmap(ids: DataFrame, id: str) -> np.ndarray:
 
 def _sets(docs: DataFrame, id: str, text: str, keys: DataFrame) -> DataFrame:
     """(key, elements) of the texts whose ids are in ``keys`` (id, key), and of a few more."""
-    bits = bitmap(keys, id)
+    size = max(1 << 16, 1 << (SPARE * keys.count()).bit_length())
+    bits = bitmap(keys, id, size) if size <= BITMAP else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            h = whole.column("_h").to_numpy()
-            whole = whole.filter(pa.array((bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            if bits is not None:
+                h = whole.column("_h").to_numpy()
+                whole = whole.filter(pa.array((bits[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for b in slices(whole, text):
                 sets = shingle_sets(b.column(text))
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "elements"])
 
-    d = docs.select(id, text, F.pmod(F.xxhash64(id), F.lit(BITMAP)).alias("_h"))
+    d = docs.select(id, text, F.pmod(F.xxhash64(id), F.lit(size)).alias("_h"))
+    if bits is None:
+        d = d.join(keys.select(id).distinct(), id, "left_semi")
     return d.mapInArrow(run, "key long, elements binary")
 
 
-def _promising(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose sketches don't differ in too many bits for a link."""
+def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs`` with what their sketches say: whether they may be linked, and how far apart they are at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), np.uint8).reshape(len(b), SKETCH // 8) for c in ("x", "y"))
             apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            keep = 9 * apart <= b.column("na").to_numpy() + b.column("nb").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
+            both = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(9 * apart <= both), pa.array(2 * apart / (both + apart))], ["a", "b", "likely", "apart"])
 
     for own, other, n in (("a", "x", "na"), ("b", "y", "nb")):
         pairs = pairs.join(classes.select(F.col("key").alias(own), F.col("sketch").alias(other), F.col("n").alias(n)), own)
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long, likely boolean, apart double")
+
+
+def _underived(pairs: DataFrame, links: DataFrame, compared: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that no known answer rules out. links (a, b, apart): linked, with their distance; compared: with a lower bound of it."""
+    ways = lambda df, x, p, d: df.select(F.col("a").alias(x), F.col("b").alias(p), F.col("apart").alias(d)).union(df.select(F.col("b").alias(x), F.col("a").alias(p), F.col("apart").alias(d)))
+    near, far = ways(links, "x", "p", "near"), ways(compared.where("apart > 0.2"), "y", "q", "far")
+    out = pairs
+    for own, other in (("a", "b"), ("b", "a")):
+        known = pairs.join(near, F.col(own) == F.col("x")).join(far, (F.col(other) == F.col("y")) & (F.col("p") == F.col("q")))
+        out = out.join(known.where("far - near > 0.2 + 1e-9").select("a", "b").distinct(), ["a", "b"], "left_anti")
+    return out
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: keys) whose sets' Jaccard similarity is 0.8 or more."""
+    """Those of ``pairs`` (a, b: keys) whose sets' Jaccard similarity is 0.8 or more, and their distance."""
     own = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     keys = stored(own.join(classes, "key").select(F.col("first").alias(id), "key"), "pair-keys")
     sets = stored(_sets(docs, id, text, keys), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
+            keep, apart = [], []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 both = int((y[at] == x).sum())
-                keep.append(100 * both >= 80 * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                union = len(x) + len(y) - both
+                keep.append(100 * both >= 80 * union)
+                apart.append(1 - both / union)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(apart, pa.float64())], ["a", "b", "apart"]).filter(pa.array(keep, pa.bool_()))
 
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
-    return with_b.mapInArrow(run, "a long, b long").distinct()
+    return with_b.mapInArrow(run, "a long, b long, apart double").distinct()
 
 
 def _fits(a: str, b: str) -> str:
@@ -241,11 +277,10 @@ def _fits(a: str, b: str) -> str:
 
 def _pivot_pairs(rows: DataFrame, k: int) -> DataFrame:
     """Each list's sets with its pivot: the heaviest set, later the heaviest outside the first pivot's component."""
-    lists = W.partitionBy("token")
     own = F.struct("weight", "key", "c", "n", "place")
-    rows = rows.withColumn("p", F.max(own).over(lists))
+    rows = over_lists(rows, p=F.max(own))
     if k:
-        rows = rows.withColumn("p", F.max(F.when(F.col("c") != F.col("p.c"), own)).over(lists))
+        rows = over_lists(rows.withColumnRenamed("p", "p0"), p=F.max(F.when(F.col("c") != F.col("p0.c"), own)))
     pairs = rows.where(f"c <> p.c AND {_fits('', 'p.')}")
     return pairs.select(F.least("key", "p.key").alias("a"), F.greatest("key", "p.key").alias("b")).distinct()
 
@@ -267,14 +302,15 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     members = scan.where("n > 0 AND id IS NOT NULL")
     top = scan.where("n < 0").groupBy("key").agg(F.sum(-F.col("n")).alias("c")).orderBy(F.desc("c"), "key").limit(FREQUENT).collect()
     often = np.array([r["key"] for r in top], np.int64).view(np.uint64)
+    hot = np.array([r["key"] for r in top if r["c"] >= HOT], np.int64).view(np.uint64)
     order = np.argsort(often)
     frequent, rank = often[order], (len(often) - order).astype(np.int64)
     classes = stored(members.groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
-    # Index lists of two or more sets, each row with its set's weight.
-    lists = W.partitionBy("token")
-    index = _index(docs, text, frequent, rank).select("*", F.min("key").over(lists).alias("k0"), F.max("key").over(lists).alias("k1"), F.count(F.lit(1)).over(lists).alias("many"))
-    index = stored(index.where("k0 <> k1").drop("k0", "k1"), "lists")
+    # Index lists of two or more sets, each row with its set's weight; a hot list's parts are kept whatever they hold.
+    lists = W.partitionBy("token", "salt")
+    index = _index(docs, text, frequent, rank, hot).select("*", F.min("key").over(lists).alias("k0"), F.max("key").over(lists).alias("k1"), F.count(F.lit(1)).over(lists).alias("many"))
+    index = stored(index.where("k0 <> k1 OR salt > 0").drop("k0", "k1"), "lists")
     weight = stored(index.groupBy("key").agg((F.sum("many") / F.max(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)).alias("weight")), "weights")
     rows = index.drop("many").join(weight, "key").withColumn("c", F.col("key"))
 
@@ -285,18 +321,16 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     for k in range(PIVOTS + 1):
         if found is not None:
             c = F.coalesce("component", "key").alias("c")
-            rows = rows.drop("c").join(found.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", "place", "weight", c)
-            rows = rows.select("*", F.min("c").over(lists).alias("c0"), F.max("c").over(lists).alias("c1"))
-            rows = stored(rows.where("c0 <> c1").drop("c0", "c1"), "mixed-lists")
+            rows = rows.drop("c").join(found.withColumnRenamed("node", "key"), "key", "left").select("token", "salt", "key", "n", "place", "weight", c)
+            rows = stored(over_lists(rows, c0=F.min("c"), c1=F.max("c")).where("c0 <> c1").drop("c0", "c1"), "mixed-lists")
         pairs = _pivot_pairs(rows, k) if k < PIVOTS else _block_pairs(rows)
         if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
+            pairs = _underived(stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs"), links, done)
+        compared = stored(_sketched(pairs, classes), "compared")
+        if compared.isEmpty():
             continue
-        done = pairs if done is None else done.union(pairs)
-        likely = stored(_promising(pairs, classes), "likely-pairs")
-        more = stored(_linked(likely, docs, id, text, classes), "links")
+        done = compared if done is None else done.union(compared)
+        more = stored(_linked(compared.where("likely").select("a", "b"), docs, id, text, classes), "links")
         links = more if links is None else links.union(more)
         found = stored(components(links), "components")
     component = F.coalesce("component", "key")
@@ -321,6 +355,8 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     Only ids move: those to be dropped are few columns wide, and every
     document is looked up among them.
     """
-    members, named = similar_classes(docs, id, text)
-    drop = members.join(named.select("key", "component"), "key").where(F.col(id) != F.col("component")).select(id)
-    return docs.join(stored(drop.distinct(), "copies"), id, "left_anti").select(*docs.columns)
+    own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    members, named = similar_classes(own, "id", "text")
+    drop = members.join(named.select("key", "component"), "key").where(F.col("id") != F.col("component")).select(F.col("id").alias("copy"))
+    copies = stored(drop.distinct(), "copies")
+    return docs.join(copies, docs[f"`{id}`"] == copies["copy"], "left_anti")

@@ -57,9 +57,12 @@ def rows():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("pivots", [0, 2])
-def test_components_equal_brute_force(spark, rows, monkeypatch, pivots):
+@pytest.mark.parametrize("pivots, hot, most", [(0, 2000, 1 << 26), (2, 2000, 1 << 26), (2, 1, 1)])
+def test_components_equal_brute_force(spark, rows, monkeypatch, pivots, hot, most):
+    """With lists dealt as hot ones and texts found by a join, too."""
     monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "BITMAP", most)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
     assert got == brute(rows)
@@ -84,3 +87,20 @@ def test_components_of_stars_chains_and_cycles(spark):
     links = [(k, k + 1) for k in range(100, 130)] + [(5, k) for k in range(6, 40)] + [(50, 51), (51, 52), (52, 50)] + [(7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{k: 100 for k in range(100, 131)}, **{k: 5 for k in range(5, 40)}, **{k: 50 for k in (50, 51, 52)}}
+
+
+def test_one_shingle_in_a_third_of_all_sets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 20)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    own = [(k, " ".join(["one two three four five", *(word() for _ in range(rng.choice([0, 0, 1, 2, 30])))]) if k % 3 == 0 else " ".join(word() for _ in range(12))) for k in range(360)]
+    docs = spark.createDataFrame(own, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == brute(own)
+
+
+def test_known_distances_rule_pairs_out(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "a long, b long")
+    links = spark.createDataFrame([(1, 9, 0.05)], "a long, b long, apart double")
+    compared = spark.createDataFrame([(2, 9, 0.4), (3, 9, 0.22), (1, 9, 0.04)], "a long, b long, apart double")
+    assert sorted(tuple(r) for r in ngram_join._underived(pairs, links, compared).collect()) == [(1, 3), (2, 4)]
