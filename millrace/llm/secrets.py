@@ -6,12 +6,16 @@ candidate; a window slides over it and the sum of ``c * log2(c)`` over its
 character counts is kept up to date as one character enters and one leaves.
 Windows above the threshold of the candidate's class are joined to a span; hex
 digits within a candidate of another class (``DB_KEY=9F86...``) are taken apart
-by their own. A candidate or hex part on the allow list gives none, and a span
-that touches a pattern's isn't added.
+by their own. Other candidates are cut at their plain parts first: numbers,
+words, camel-cased names (``plain``), so that identifiers, paths and titles give
+no span while a random part between them does. A candidate, stretch or hex part
+on the allow list gives none, and a span that touches a pattern's isn't added.
 
 Narrow: one pass, no shuffle, no state between rows; a long text costs time in
 proportion to its length. Null and empty texts have no spans. Repeated rows
-get equal spans. Further columns aren't read; name the id and text columns.
+get equal spans; spans that begin together are in the order of ``KINDS``. An
+empty table gives an empty result. Further columns aren't read (``redact`` keeps
+them), whatever their names; name the id and text columns.
 """
 
 from __future__ import annotations
@@ -85,13 +89,43 @@ def _allowed(s: str) -> bool:
     return any(p.fullmatch(s) for p in ALLOW)
 
 
+_PARTS = re.compile(r"[A-Za-z0-9]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
+_VOWEL, _CONSONANTS = re.compile("[aeiouyAEIOUY]"), re.compile("[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{6}")
+
+
+def plain(part: str) -> bool:
+    """Whether letters and digits between separators look made of words or a number, not drawn at random: three fifths in words with vowels, few digits."""
+    if len(part) < 4:
+        return False
+    if part.isdigit():
+        return True
+    words = sum(len(m[0]) for m in _WORDS.finditer(part) if len(_VOWEL.findall(m[0])) * 5 >= len(m[0]) and not _CONSONANTS.search(m[0]))
+    return 5 * words >= 3 * len(part) and 4 * sum(map(str.isdigit, part)) <= len(part)
+
+
+def stretches(s: str) -> list[tuple[int, int]]:
+    """What is left of a candidate when its plain parts are cut out."""
+    out, begin = [], 0
+    for m in _PARTS.finditer(s):
+        if plain(m[0]):
+            out.append((begin, m.start()))
+            begin = m.end()
+    return [(a, b) for a, b in [*out, (begin, len(s))] if b > a]
+
+
 def class_spans(s: str, window: int = WINDOW, bits: dict[str, float] | None = None) -> list[tuple[int, int]]:
     """Windows of ``s`` over the threshold of its class, and windows of its longest runs of hex digits over theirs; the two may overlap."""
     if len(s) < window or _allowed(s):
         return []
     bits, own = bits or BITS, char_class(s)
-    found = _over(s, window, bits[own])
-    for m in _HEX.finditer(s) if own != "hex" else ():
+    if own == "hex":
+        return _over(s, window, bits[own])
+    found = []
+    for a, b in stretches(s):
+        if b - a >= window and not _allowed(s[a:b].strip("+/_=-")):
+            found += [(a + x, a + y) for x, y in _over(s[a:b], window, bits[own])]
+    for m in _HEX.finditer(s):
         a, b = m.span()
         # Letters that may belong to a word beside the digits don't make a number a secret.
         core = m[0].lstrip(_LETTERS) if a and s[a - 1].isalpha() else m[0]

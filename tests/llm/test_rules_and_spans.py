@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -93,6 +94,46 @@ def test_joined_names_and_numbers_stay_plain():
     assert ("entropy", len(key), len(key) + 20) in secrets.scan_batch(pa.array([key + own]))[0]
 
 
+PLAIN = [
+    "AbstractSingletonProxyFactoryBean2Impl", "The_quick_brown_fox_jumps_over_13_lazy_dogs", "com/docs/getting-started/InstallationGuide2024/part3", "my-very-long-branch-name-with-words-2", "getUserAccountDetailsByIdentifier3", "node_modules/react-dom/cjs/react-dom.production.min", "CUSTOMER_ORDER_STATUS_CHANGED_EVENT_2", "2024-01-15-weekly-report-final-version3",
+    "src/main/java/org/example/service/UserAccountServiceImpl2", "Donaudampfschifffahrtsgesellschaft2024",
+]
+
+
+@pytest.mark.parametrize("text", PLAIN)
+def test_names_and_paths_are_no_secrets(text):
+    assert secrets.random_spans(text) == []
+
+
+@pytest.mark.parametrize("alphabet, least", [("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.95), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", 0.95), ("abcdefghijklmnopqrstuvwxyz0123456789", 0.9), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.85)])
+def test_random_keys_are_found(alphabet, least):
+    rng = random.Random(3)
+    found = 0
+    for k in range(400):
+        own = "".join(rng.choices(alphabet, k=rng.choice([32, 40, 64])))
+        s = own if k % 2 else f"config/production/{own}"
+        found += sum(b - a for a, b in secrets.random_spans(s)) >= 0.5 * len(own)
+    assert found >= least * 400
+
+
+def entropy_anew(s, window, least):
+    """Every window's entropy from fresh counts."""
+    covered = set()
+    for a in range(len(s) - window + 1):
+        counts = collections.Counter(s[a : a + window]).values()
+        if -sum(c / window * math.log2(c / window) for c in counts) >= least - 1e-12:
+            covered |= set(range(a, a + window))
+    return covered
+
+
+def test_incremental_entropy_equals_fresh_counts():
+    rng = random.Random(5)
+    for _ in range(200):
+        s = "".join(rng.choices(rng.choice(["ab", "abcdefgh", "0123456789abcdef", "ABCxyz019+/"]), k=rng.randint(1, 120)))
+        least = rng.choice([1.0, 2.5, 3.0, 3.3])
+        assert {i for a, b in secrets._over(s, 20, least + 1e-9) for i in range(a, b)} == entropy_anew(s, 20, least + 1e-9)
+
+
 def test_redaction_keeps_columns_and_other_rows(spark, docs):
     out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
     assert out[0] == "a [SECRET]\" end" and out[5] == TEXTS[5] and out[10] is None
@@ -158,7 +199,12 @@ def test_empty_tables(empty_docs):
 
 
 def test_quality_measures_equal_brute_force(odd_docs, odd_texts):
-    got = {r["doc_id"]: r for r in quality_rules(odd_docs.withColumnRenamed("n", "other")).collect()}
+    clashing = odd_docs.withColumnsRenamed({"n": "n_words", "token": "_words", "key": "kept"})
+    rows = quality_rules(clashing)
+    assert rows.columns.count("n_words") == rows.columns.count("kept") == 1 and "_words" in rows.columns
+    apart = quality_rules(clashing, prefix="q_")
+    assert {"n_words", "q_n_words", "kept", "q_kept"} <= set(apart.columns) and apart.where("q_base_failed").count() == rows.where("base_failed").count()
+    got = {r["doc_id"]: r for r in rows.collect()}
     for k, t in enumerate(odd_texts):
         t = t or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
