@@ -137,8 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name``, without its text (select what is to stay beforehand)."""
-    keep = [c for c in docs.columns if c != text]
+    """``docs`` with a column ``name``, which takes the place of one of that name, without its text (select what is to stay beforehand)."""
+    keep = [c for c in docs.columns if c not in (text, name)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -6,8 +6,9 @@ shuffle; a long text costs time in proportion to its words (one sort of longs).
 
 Null or empty texts have no words: all measures are 0, ``base_failed`` is true
 and ``kept`` false. Each row is judged on its own, so repeated rows and ties
-get equal results; further columns pass through untouched, and measures are
-named by the caller where a name would clash.
+get equal results; an empty table gives an empty result. Further columns pass
+through untouched. A measure takes the place of a column of its name, unless a
+``prefix`` is given for the measures' names.
 """
 
 from __future__ import annotations
@@ -48,13 +49,13 @@ RULES = (
 )
 
 
-def passes(rules: tuple[Rule, ...]) -> Column:
+def passes(rules: tuple[Rule, ...], prefix: str = "") -> Column:
     """The table as one boolean expression over the measures."""
     ok = F.lit(True)
     for r in rules:
-        value = F.col(r.measure).cast("double")
+        value = F.col(prefix + r.measure).cast("double")
         if r.per:
-            value = value / F.greatest(F.col(r.per), F.lit(1))
+            value = value / F.greatest(F.col(prefix + r.per), F.lit(1))
         if r.least is not None:
             ok = ok & (value >= F.lit(float(r.least)))
         if r.most is not None:
@@ -62,11 +63,15 @@ def passes(rules: tuple[Rule, ...]) -> Column:
     return ok
 
 
-def measures(docs: DataFrame, text: str = "text", stop_words: list[str] | None = None) -> DataFrame:
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+
+
+def measures(docs: DataFrame, text: str = "text", stop_words: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_stop_words."""
     stops = sorted({x for w in (stop_words or STOP_WORDS) for x in (w, w.capitalize())})
-    keep = docs.columns
-    t = F.coalesce(F.col(text), F.lit(""))
+    keep = [c for c in docs.columns if c not in {prefix + m for m in (*MEASURES, "base_failed", "kept")}]
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))  # no name within can clash
+    t = F.col("_t")
     step = docs.select("*", F.filter(F.split(t, f"{_BLANK}+"), lambda w: w != "").alias("_words"), F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")) != "").alias("_lines"))
     step = step.select("*", F.size("_words").cast("long").alias("n_words"))
     words = F.col("_words")
@@ -91,10 +96,14 @@ def measures(docs: DataFrame, text: str = "text", stop_words: list[str] | None =
     step = step.select("*", F.expr(f"sort_array(array_union(transform(_same, i -> {here}), transform(_same, i -> {there})))").alias("_starts"))
     # a window covers 3 words; from one start to the next at most the gap
     covered = F.expr("coalesce(aggregate(transform(_starts, (p, i) -> cast(least(3, coalesce(get(_starts, i + 1) - p, 3)) as bigint)), 0L, (s, x) -> s + x), 0L)")
-    return step.select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", covered.alias("n_repeat_words"), "n_stop_words")
+    # plus 0, as a value that the optimiser can't copy: else a condition on a measure would bring all of its steps along, many times over
+    zero = F.shiftrightunsigned(F.monotonically_increasing_id(), 63)
+    step = step.select("_row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", (covered + zero).alias("n_repeat_words"), "n_stop_words")
+    return step.select("_row.*", *(F.col(m).alias(prefix + m) for m in MEASURES))
 
 
-def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", least_words: int = 50, most_repeat_percent: int = 50) -> DataFrame:
+def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", least_words: int = 50, most_repeat_percent: int = 50, prefix: str = "") -> DataFrame:
     """``docs`` with the measures, ``base_failed`` and ``kept``."""
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
-    return measures(docs, text).select("*", failed.alias("base_failed"), (~failed & passes(rules)).alias("kept"))
+    words, repeat = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+    failed = (words < least_words) | (100 * repeat > most_repeat_percent * words)
+    return measures(docs, text, prefix=prefix).select("*", failed.alias(f"{prefix}base_failed"), (~failed & passes(rules, prefix)).alias(f"{prefix}kept"))
