@@ -26,10 +26,41 @@ def test_toxicity_on_held_out_rows(spark):
 def test_chain_uses_earlier_probabilities():
     rng = np.random.default_rng(2)
     first = rng.integers(0, 2, 400)
-    x = toxicity.Rows(np.array([k for f in first for k in ((0,) if f else (1,))]), np.arange(401))
-    chain = toxicity.Chain(np.array([1, 2], np.uint64)).fit(x, np.column_stack([first, first]), np.arange(400) % 3)
-    p = chain.predict(x)
-    assert ((p[:, 1] > 0.5) == first).all() and abs(chain.models[1].b[1]) > 0.1
+    h, bounds = np.where(first > 0, 1, 2).astype(np.uint64), np.arange(401)
+    words = [np.array([1, 2], np.uint64)] * (toxicity.FOLDS + 1)
+    none = [np.zeros(0, np.uint64)] * (toxicity.FOLDS + 1)
+    chain = toxicity.Chain().fit(h, bounds, np.column_stack([first, first]), np.arange(400) % toxicity.FOLDS, [words, none])
+    p = chain.predict(h, bounds)  # the second category has no words of its own
+    assert ((p[:, 1] > 0.5) == first).all() and abs(chain.models[1][1].b[1]) > 0.1
+
+
+def test_vocabularies_leave_their_fold_out(spark):
+    """A word that tells the label in one fold only isn't chosen without that fold; equal to a plain loop."""
+    rng = random.Random(3)
+    rows = [(w, [rng.randint(0, 9) for _ in range(3)]) for w in range(40)]
+    rows = [(w, n, [rng.randint(0, x) for x in n]) for w, n in rows] + [(99, [9, 0, 0], [9, 0, 0])]
+    counts = spark.createDataFrame(rows, "hash long, n array<long>, k array<long>")
+    got = toxicity.telling(counts, [30, 30, 30], [12, 10, 9], most=8)
+    for f in range(4):
+        n, k = ([sum(x for j, x in enumerate(r[c]) if j != f) for r in rows] for c in (1, 2))
+        texts, positive = sum(30 for j in range(3) if j != f), sum(x for j, x in enumerate((12, 10, 9)) if j != f)
+        chi = {r[0]: (b - a * positive / texts) ** 2 / max(a * positive / texts * (1 - positive / texts) * (1 - a / texts), 1e-9) for r, a, b in zip(rows, n, k, strict=True) if a >= toxicity.LEAST}
+        assert got[f].tolist() == sorted(sorted(chi, key=lambda w: (-chi[w], w))[:8])
+    assert 99 in got[3] and 99 not in got[0]
+
+
+def test_votes_equal_a_plain_loop():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 4, (60, quality_knn.TERMS)) * (rng.random((60, quality_knn.TERMS)) < 0.05)
+    labels = rng.integers(0, 2, 60)
+    model = quality_knn.Model(counts, labels, {0: 300, 1: 700}, (counts > 0).sum(0), 60)
+    texts = rng.integers(0, 3, (20, quality_knn.TERMS)) * (rng.random((20, quality_knn.TERMS)) < 0.05)
+    got = model.score(texts, block=7)
+    z = model.latent(quality_knn.weighted(texts, model.idf))
+    for row, s in zip(z, got, strict=True):
+        near = sorted(((float(row @ v), -k) for k, v in enumerate(model.vectors)), reverse=True)[: quality_knn.NEIGHBOURS]
+        votes = [(max(c, 1e-6) ** quality_knn.SHARPNESS * model.weights[-k], labels[-k]) for c, k in near]
+        assert s == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=1e-4)
 
 
 def test_models_on_odd_tables(spark, odd_docs, empty_docs):
