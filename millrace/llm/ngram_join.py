@@ -17,11 +17,12 @@ similarity of their sets is 0.8 or more.
    taken from the answers of the similar set: pairs inside a component
    need no comparison, and a group of thousands of near copies costs one
    comparison each. A second round takes a pivot outside the first's component.
-   From then on answers are derived before anything is compared: if a is linked
-   to p at distance x (1 - similarity, a metric) and b is known to be at least
-   y from p, then a and b are at least y - x apart, and over 0.2 they are none.
-   Lists that hold much of the corpus (``HOT`` sets) are dealt by salt and
-   their minima and pivots taken in two steps, never in one task.
+   From then on answers are derived before sketches are moved, where there are
+   over ``DERIVE`` pairs (below, comparing costs less): if a is linked to p at
+   distance x (1 - similarity, a metric) and b is known to be at least y from
+   p, then a and b are at least y - x apart, and over 0.2 they are no link.
+   Lists of over ``HOT`` sets are dealt by salt and their minima and pivots
+   taken in two steps, never in one task.
 4. What is left are lists that hold several components. They are joined in
    blocks by size band, and places are used to skip: with ``r`` shingles left
    from its place on, a set reaches only partners of up to ``2.25 r - n``
@@ -56,14 +57,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import stored
+from .tables import drop, stored
 from .textkit import mix, slices, word_hashes
 
 WORDS = 5
 #: Bounds: shingles that are ordered by frequency; most bits of the text filter, and its bits for each text.
 FREQUENT, BITMAP, SPARE = 100_000, 1 << 26, 16
-#: A shingle counted so often is hot: its list is dealt to ``SALTS`` parts.
-HOT, SALTS = 2000, 64
+#: A shingle counted so often is hot: its list is dealt to ``SALTS`` parts. Pairs beyond which answers are derived.
+HOT, SALTS, DERIVE = 1_000_000, 256, 1_000_000
 #: Bits of a set's sketch.
 SKETCH = 2048
 #: Rounds of comparison with pivots.
@@ -160,7 +161,7 @@ def prefix(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarra
 
 
 def _index(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """(token, salt, key, n, place) of each set's indexed places; only hot tokens have a salt. A set that a task has seen before is left out there."""
+    """(token, key, n, place) of each set's indexed places, and a salt, 0 but for hot tokens, if there are any. A set that a task has seen before is left out there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -177,14 +178,17 @@ def _index(docs: DataFrame, text: str, frequent: np.ndarray, rank: np.ndarray, h
                     parts.append((p, np.full(len(p), key), np.full(len(p), len(own), np.int32), np.arange(len(p), dtype=np.int32)))
                 if parts:
                     token, key, n, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-                    salt = np.where(np.isin(token, hot), 1 + key % SALTS, 0).astype(np.int8)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(token)), pa.array(salt), pa.array(key), pa.array(n), pa.array(place)], ["token", "salt", "key", "n", "place"])
+                    salt = [pa.array(np.where(np.isin(token, hot), 1 + key % SALTS, 0).astype(np.int32))] if len(hot) else []
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(token)), pa.array(key), pa.array(n), pa.array(place), *salt], names)
 
-    return docs.select(text).mapInArrow(run, "token long, salt byte, key long, n int, place int")
+    names = ["token", "key", "n", "place", *(["salt"] if len(hot) else [])]
+    return docs.select(text).mapInArrow(run, "token long, key long, n int, place int" + ", salt int" * bool(len(hot)))
 
 
 def over_lists(rows: DataFrame, **aggregates: Column) -> DataFrame:
     """``rows`` with aggregates of their lists: by windows, those of hot lists by an aggregate that Spark combines before it moves rows, and a join."""
+    if "salt" not in rows.columns:
+        return rows.select("*", *(a.over(W.partitionBy("token")).alias(n) for n, a in aggregates.items()))
     cold = rows.where("salt = 0").select("*", *(a.over(W.partitionBy("token")).alias(n) for n, a in aggregates.items()))
     hot = rows.where("salt > 0")
     found = hot.groupBy("token").agg(*(a.alias(n) for n, a in aggregates.items()))
@@ -229,26 +233,24 @@ def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), np.uint8).reshape(len(b), SKETCH // 8) for c in ("x", "y"))
             apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             both = b.column("na").to_numpy() + b.column("nb").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(9 * apart <= both), pa.array(2 * apart / (both + apart))], ["a", "b", "likely", "apart"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(9 * apart <= both), pa.array((np.floor(2000 * apart / (both + apart)) / 1000).astype(np.float32))], ["a", "b", "likely", "apart"])
 
     for own, other, n in (("a", "x", "na"), ("b", "y", "nb")):
         pairs = pairs.join(classes.select(F.col("key").alias(own), F.col("sketch").alias(other), F.col("n").alias(n)), own)
-    return pairs.mapInArrow(run, "a long, b long, likely boolean, apart double")
+    return pairs.mapInArrow(run, "a long, b long, likely boolean, apart float")
 
 
 def _underived(pairs: DataFrame, links: DataFrame, compared: DataFrame) -> DataFrame:
     """Those of ``pairs`` that no known answer rules out. links (a, b, apart): linked, with their distance; compared: with a lower bound of it."""
     ways = lambda df, x, p, d: df.select(F.col("a").alias(x), F.col("b").alias(p), F.col("apart").alias(d)).union(df.select(F.col("b").alias(x), F.col("a").alias(p), F.col("apart").alias(d)))
     near, far = ways(links, "x", "p", "near"), ways(compared.where("apart > 0.2"), "y", "q", "far")
-    out = pairs
-    for own, other in (("a", "b"), ("b", "a")):
-        known = pairs.join(near, F.col(own) == F.col("x")).join(far, (F.col(other) == F.col("y")) & (F.col("p") == F.col("q")))
-        out = out.join(known.where("far - near > 0.2 + 1e-9").select("a", "b").distinct(), ["a", "b"], "left_anti")
-    return out
+    both = pairs.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("a", "b", "b", "a"))
+    known = both.join(near, F.col("u") == F.col("x")).join(far, (F.col("v") == F.col("y")) & (F.col("p") == F.col("q")))
+    return pairs.join(known.where("far - near > 0.2 + 1e-6").select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: keys) whose sets' Jaccard similarity is 0.8 or more, and their distance."""
+    """Those of ``pairs`` (a, b: keys) whose sets' Jaccard similarity is 0.8 or more, and their distance, stored."""
     own = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     keys = stored(own.join(classes, "key").select(F.col("first").alias(id), "key"), "pair-keys")
     sets = stored(_sets(docs, id, text, keys), "sets")
@@ -267,7 +269,9 @@ def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: Data
 
     with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
-    return with_b.mapInArrow(run, "a long, b long, apart double").distinct()
+    out = stored(with_b.mapInArrow(run, "a long, b long, apart double").distinct(), "links")
+    drop(docs.sparkSession, keys, sets)
+    return out
 
 
 def _fits(a: str, b: str) -> str:
@@ -308,31 +312,40 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     classes = stored(members.groupBy("key").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
 
     # Index lists of two or more sets, each row with its set's weight; a hot list's parts are kept whatever they hold.
-    lists = W.partitionBy("token", "salt")
+    salted = ["salt"] if len(hot) else []
+    lists = W.partitionBy("token", *salted)
     index = _index(docs, text, frequent, rank, hot).select("*", F.min("key").over(lists).alias("k0"), F.max("key").over(lists).alias("k1"), F.count(F.lit(1)).over(lists).alias("many"))
-    index = stored(index.where("k0 <> k1 OR salt > 0").drop("k0", "k1"), "lists")
+    index = stored(index.where("k0 <> k1 OR salt > 0" if salted else "k0 <> k1").drop("k0", "k1"), "lists")
     weight = stored(index.groupBy("key").agg((F.sum("many") / F.max(F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)).alias("weight")), "weights")
     rows = index.drop("many").join(weight, "key").withColumn("c", F.col("key"))
 
     # Rounds of comparison with one pivot for each list, then the rest in blocks.
+    spark, spent = docs.sparkSession, [index, weight]
     done: DataFrame | None = None
     links: DataFrame | None = None
     found: DataFrame | None = None
     for k in range(PIVOTS + 1):
         if found is not None:
             c = F.coalesce("component", "key").alias("c")
-            rows = rows.drop("c").join(found.withColumnRenamed("node", "key"), "key", "left").select("token", "salt", "key", "n", "place", "weight", c)
+            rows = rows.drop("c").join(found.withColumnRenamed("node", "key"), "key", "left").select("token", *salted, "key", "n", "place", "weight", c)
             rows = stored(over_lists(rows, c0=F.min("c"), c1=F.max("c")).where("c0 <> c1").drop("c0", "c1"), "mixed-lists")
+            drop(spark, *spent)
+            spent = [rows]
         pairs = _pivot_pairs(rows, k) if k < PIVOTS else _block_pairs(rows)
         if done is not None:
-            pairs = _underived(stored(pairs.join(done, ["a", "b"], "left_anti"), "pairs"), links, done)
-        compared = stored(_sketched(pairs, classes), "compared")
-        if compared.isEmpty():
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        many = pairs.count()
+        if not many:
             continue
+        left = _underived(pairs, links, done) if done is not None and many > DERIVE else pairs
+        compared = stored(_sketched(left, classes), "compared")
+        drop(spark, pairs)
         done = compared if done is None else done.union(compared)
-        more = stored(_linked(compared.where("likely").select("a", "b"), docs, id, text, classes), "links")
+        more = _linked(compared.where("likely").select("a", "b"), docs, id, text, classes)
         links = more if links is None else links.union(more)
         found = stored(components(links), "components")
+    drop(spark, *spent)
     component = F.coalesce("component", "key")
     if found is None:
         found = docs.sparkSession.createDataFrame([], "node long, component long")

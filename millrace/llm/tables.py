@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import shared_dir, stored
+from ..storage import drop, shared_dir, stored
 
-__all__ = ["documents", "partitions", "shared_dir", "stored"]
+__all__ = ["documents", "drop", "partitions", "shared_dir", "stored"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

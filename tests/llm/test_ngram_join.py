@@ -59,8 +59,9 @@ def rows():
 
 @pytest.mark.parametrize("pivots, hot, most", [(0, 2000, 1 << 26), (2, 2000, 1 << 26), (2, 1, 1)])
 def test_components_equal_brute_force(spark, rows, monkeypatch, pivots, hot, most):
-    """With lists dealt as hot ones and texts found by a join, too."""
+    """With lists dealt as hot ones, texts found by a join and answers derived, too."""
     monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+    monkeypatch.setattr(ngram_join, "DERIVE", 0 if hot == 1 else 10**6)
     monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "BITMAP", most)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
