@@ -1,9 +1,12 @@
 """The corpus pipeline: five stages over ``documents``, each stored and read again by the next.
 
 Every stage works on all rows that the one before kept. The first four return
-the columns of ``documents``; the last returns where each token piece was
-packed. Null and empty texts score 0 and leave with the first stage. An empty
-table passes through.
+the columns of ``documents``, further ones and their names included; the last
+returns where each token piece was packed. Null and empty texts score 0 and
+leave with the first stage; very long ones are whole in every stage. Rows with
+a null id can't be told apart: they stay but for the quality stage. Repeated
+rows, and ties among near duplicates of equal ids, stay or leave together. An
+empty table passes through.
 """
 
 from __future__ import annotations
@@ -37,9 +40,12 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced and n_chars counted again where one was."""
-    out = secrets.redact(docs.withColumn("_text", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_text"))
-    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_text")
+    before = "_text"
+    while before in docs.columns:
+        before += "_"
+    out = secrets.redact(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
+    return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
