@@ -15,10 +15,14 @@ _LOW = (1 << 32) - 1
 
 
 def _bytes(text: Column) -> Column:
-    """The UTF-8 bytes as longs; an empty text has none."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    places = F.filter(F.sequence(F.lit(0), F.octet_length(text) - F.when(F.octet_length(text) > 0, 1).otherwise(0)), lambda i: i < F.octet_length(text))
-    return F.transform(places, lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
+    """The UTF-8 bytes as longs, seven read from one number at a time; an empty text has none."""
+    size = F.octet_length(text)
+    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(7))
+    seven = lambda h: F.transform(starts, lambda i: F.conv(F.rpad(F.substring(h, i * 2 + 1, F.lit(14)), 14, "0"), 16, 10).cast("long"))
+    apart = lambda c: F.array(*(F.shiftright(c, 8 * (6 - j)).bitwiseAND(F.lit(255)) for j in range(7)))
+    # in an array of one, so that the digits are made once for all lambdas that read them
+    digits = F.transform(F.array(F.hex(F.encode(text, "UTF-8"))), lambda h: F.slice(F.flatten(F.transform(seven(h), apart)), F.lit(1), size))
+    return F.get(digits, F.lit(0))
 
 
 def _fnv(text: Column) -> Column:
