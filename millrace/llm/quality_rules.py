@@ -76,12 +76,14 @@ def measures(docs: DataFrame, text: str = "text", stop_words: list[str] | None =
     step = step.select("*", F.size("_words").cast("long").alias("n_words"))
     words = F.col("_words")
     step = step.select("*", F.length(F.bin("n_words")).alias("_bits"), F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int").alias("_n"))
-    # Each 3-word window becomes one long, its hash above its position, so that a
-    # single sort of longs brings equal windows together.
-    window = F.transform(F.slice(words, F.lit(1), F.col("_n")), lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), F.col("_bits")).bitwiseOR(i.cast("long")))
+    # A text without two equal hashes of 3-word windows has no repeat. In others each
+    # window becomes one long, its hash above its position, so that a single sort
+    # of longs brings equal windows together.
+    step = step.select("*", F.transform(F.slice(words, F.lit(1), F.col("_n")), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))).alias("_hashes"))
+    window = F.transform("_hashes", lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long")))
     step = step.select(
         "*",
-        F.sort_array(window).alias("_windows"),
+        F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.sort_array(window)).otherwise(F.array().cast("array<bigint>")).alias("_windows"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         (F.size(F.split(t, r"[#*$%&|<>]")) - 1).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
@@ -89,7 +91,7 @@ def measures(docs: DataFrame, text: str = "text", stop_words: list[str] | None =
         F.size(F.filter(words, lambda w: w.isin(stops))).cast("long").alias("n_stop_words"),
     )
     # Places in the sorted array whose successor has the same hash, then those whose words are equal too.
-    step = step.select("*", F.expr("filter(sequence(0, greatest(_n - 2, 0)), i -> shiftrightunsigned(get(_windows, i), _bits) = shiftrightunsigned(get(_windows, i + 1), _bits))").alias("_at"), F.expr("shiftleft(1L, _bits) - 1").alias("_mask"))
+    step = step.select("*", F.expr("filter(sequence(0, greatest(size(_windows) - 2, 0)), i -> shiftrightunsigned(get(_windows, i), _bits) = shiftrightunsigned(get(_windows, i + 1), _bits))").alias("_at"), F.expr("shiftleft(1L, _bits) - 1").alias("_mask"))
     here, there = "cast(get(_windows, i) & _mask as int)", "cast(get(_windows, i + 1) & _mask as int)"
     equal = " AND ".join(f"get(_words, {here} + {k}) = get(_words, {there} + {k})" for k in range(3))
     step = step.select("*", F.expr(f"filter(_at, i -> {equal})").alias("_same"))

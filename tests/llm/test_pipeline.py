@@ -83,6 +83,15 @@ def test_empty_table(spark):
     assert docs.count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "source AS _text", "doc_id AS copy", "lang AS hit", "lang AS `a.b`", "doc_id AS id", "1 AS score")
+    names, rows = docs.columns, docs.count()
+    for _, f in corpus_pipeline.STAGES[:4]:
+        docs = f(spark, docs, SF)
+        assert docs.columns == names
+    assert 0 < docs.where("_text = source AND hit = lang AND id = doc_id AND copy = doc_id AND score = 1").count() == docs.count() < rows
+
+
 def test_registered():
     import __spark_entry__ as entry
 
