@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled_sample, summed
-from .tables import stored
+from .tables import numbered_columns, stored
 from .textkit import LOWER, buffers, hashes, mix, slices, spans
 
 SAMPLE, DIMENSIONS, NEIGHBOURS, SHARPNESS = 2000, 32, 15, 8
@@ -152,12 +152,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float = 0.7) -> DataFrame:
     """The rows of ``docs`` whose texts score ``least`` or more, all columns."""
 
+    own, at = numbered_columns(docs), f"c{docs.columns.index(text)}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, text):
-                yield b.filter(pa.array(model.score(term_counts(b.column(text))) >= least))
+            for b in slices(whole, at):
+                yield b.filter(pa.array(model.score(term_counts(b.column(at))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def training_labels(labels: DataFrame, id: str = "doc_id") -> DataFrame:

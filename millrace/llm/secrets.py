@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import numbered_columns
 from .textkit import LOWER, buffers, slices, spans
 
 KINDS = ("assign", "access", "hex", "entropy")
@@ -205,11 +206,11 @@ def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, text):
-                yield pa.RecordBatch.from_arrays([b.column(id), spans_array(scan_batch(b.column(text)))], ["id", "spans"])
+            for b in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([b.column("id"), spans_array(scan_batch(b.column("text")))], ["id", "spans"])
 
-    d = docs.select(id, text)
-    return d.mapInArrow(run, f"id {d.schema[id].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("id", id)
+    d = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, spans {SPANS}").withColumnRenamed("id", id)
 
 
 def digest(spans: Column) -> Column:
@@ -219,23 +220,23 @@ def digest(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret span, joined where they overlap, replaced by ``mark``; all columns stay, null stays null."""
-    names = docs.columns
+    own, at = numbered_columns(docs), docs.columns.index(text)
+    names = own.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text)
         for whole in batches:
-            for b in slices(whole, text):
-                found = scan_batch(b.column(text))
+            for b in slices(whole, names[at]):
+                found = scan_batch(b.column(at))
                 columns = list(b.columns)
                 if any(found):
-                    values = b.column(text).to_pylist()
-                    for k, own in enumerate(found):
-                        if own:
-                            values[k] = _without(values[k], own, mark)
+                    values = b.column(at).to_pylist()
+                    for k, spans_of in enumerate(found):
+                        if spans_of:
+                            values[k] = _without(values[k], spans_of, mark)
                     columns[at] = pa.array(values, b.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def _without(text: str, own: list[tuple[str, int, int]], mark: str) -> str:
