@@ -36,8 +36,15 @@ def amount_text(x: Column) -> Column:
 
 
 def plain(x: Column) -> Column:
-    """A double with six decimals, as text."""
-    return F.format_string("%.6f", x.cast("double"))
+    """A double with six decimals, as text; a negative zero keeps its sign, null stays null."""
+    return F.when(x.isNotNull(), F.format_string("%.6f", x.cast("double")))
+
+
+def as_text(x: Column) -> Column:
+    """The column as text; doubles without exponent, as the E of ``1.0E7`` would be lost among other letters."""
+    text = x.cast("string")
+    whole = F.regexp_replace(F.format_string("%.18f", text.try_cast("double")), r"(\.\d+?)0+$", "$1")
+    return F.when(F.typeof(x).isin("double", "float") & text.contains("E"), whole).otherwise(text)
 
 
 def trim(x: Column, arg: str) -> Cleansed:
@@ -116,9 +123,9 @@ def scale_units(x: Column, arg: str) -> Cleansed:
     d = amount_text(x)
     if arg == "1":
         return _sound(blank_null(d))
-    n = d.try_cast("double")
-    up = F.ceil(n / float(arg))
-    return F.when((up == 0) & (n / float(arg) < 0), F.concat(F.lit("-"), plain(up))).otherwise(plain(up)), n.isNull()  # a negative zero keeps its sign
+    down = -(d.try_cast("double") / float(arg))
+    near = F.rint(down)
+    return plain(-F.when(near <= down, near).otherwise(near - 1)), down.isNull()  # by doubles throughout: ceil gives a long, without the sign of zero
 
 
 def parse_amount(x: Column, arg: str) -> Cleansed:
@@ -202,7 +209,7 @@ def cleanse(name: str, x: Column, argument: str = "") -> Cleansed:
         raise ValueError(f"unknown cleansing function: {name}")
     if name in _NEEDS_ARGUMENT and not argument:
         raise ValueError(f"{name} needs an argument")
-    x = blank_null(x.cast("string"))
+    x = blank_null(as_text(x))
     if name in SIMPLE:
         return SIMPLE[name](x, argument)
     if name == "concat":

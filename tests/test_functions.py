@@ -77,6 +77,15 @@ def test_cleansing_errors(spark):
         cleansing.cleanse("nothing", F.lit("x"))
 
 
+def test_cleansed_doubles(spark):
+    """Zeros with their sign, no value where there is none, and no exponents."""
+    want = [(-0.0, ("-0.000000", "-0.000000")), (0.0, ("0.000000", "0.000000")), (-0.29, ("-0.000000", "-0.072500")), (0.29, ("1.000000", "0.072500")), (-7.0, ("-1.000000", "-1.750000")), (-7.01, ("-1.000000", "-1.752500")), (7.01, ("2.000000", "1.752500"))]
+    want += [(12345678.5, ("1763669.000000", "3086419.625000")), (-0.0005, ("-0.000000", "-0.000125")), (1.4e20, ("20000000000000000000.000000", "35000000000000000000.000000")), (None, (None, None))]
+    for x, found in want:
+        assert one(spark, lambda c: F.array(cleansing.cleanse("scale_units", c, "7")[0], cleansing.cleanse("parse_amount", c, "4")[0]), x, "double") == list(found), x
+    assert one(spark, lambda c: F.array(cleansing.cleanse("scale_units", c, "7")[0], cleansing.cleanse("parse_amount", c, "4")[0]), "a") == [None, None]
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("Ann B", "1969-01-01"), (None, None)], "name string, dob string")
     got = [r[0] for r in df.select(keys.composite_key(["remove_mi(name)", "format_date(dob)"])).collect()]
