@@ -5,9 +5,11 @@ once. An antecedent ``(s, p, o)`` matches facts, terms that begin with ``?``
 being variables; rules are joins on the session and the variables that the
 antecedents share, negated antecedents are anti-joins. Rules are ordered in
 strata so that what a rule negates is complete before it runs; a program that
-can't be ordered so is refused. Within a stratum every round joins each rule
-once with only the last round's facts in one of its antecedents (semi-naive),
-drops what is known, and stores the rest; it ends when nothing is new.
+can't be ordered so is refused. Within a stratum rules run after those whose
+facts they match, so most run once, in one pass with all others that are ready.
+Only rules that feed themselves run in rounds: each joins a rule with the last
+round's facts in one of its antecedents (semi-naive) and stores what is new; they
+end when nothing is. A pass reads the facts whose predicates its rules name.
 
 Objects are texts; numbers in filters and consequents are cast there. A fact
 with a null in any column is left out. Repeated facts count once.
@@ -100,8 +102,33 @@ def strata(rules: list[Rule]) -> list[list[Rule]]:
     return [by[k] for k in sorted(by)]
 
 
+def passes(group: list[Rule]) -> list[tuple[list[Rule], bool]]:
+    """The rules of a stratum in the order in which they can run, and whether they feed themselves."""
+    if any(m.negated and m.p.startswith("?") for r in group for m in r.when):
+        return [(group, True)]  # what such a rule negates has no place in the order
+    feeds = lambda a, b: any(m.p.startswith("?") or m.p == p for m in b.when for _, p, _ in a.then)
+    n = range(len(group))
+    before = [{i for i in n if feeds(group[i], group[k])} for k in n]
+    while True:  # all rules that feed a rule, by way of others too
+        more = [own.union(*(before[i] for i in own)) for own in before]
+        if more == before:
+            break
+        before = more
+    out: list[tuple[list[Rule], bool]] = []
+    done: set[int] = set()
+    while len(done) < len(group):
+        ready = [k for k in n if k not in done and before[k] <= done]
+        again = not ready
+        if again:
+            k = min((k for k in n if k not in done), key=lambda k: len(before[k]))
+            ready = sorted(before[k] - done)
+        out.append(([group[k] for k in ready], again))
+        done.update(ready)
+    return out
+
+
 def _matches(facts: DataFrame, m: Match) -> DataFrame:
-    """The session and the variables of an antecedent."""
+    """The session and the variables of an antecedent; as facts don't repeat, nor do these."""
     out, columns = facts, {}
     for name, t in (("s", m.s), ("p", m.p), ("o", m.o)):
         if not t.startswith("?"):
@@ -110,7 +137,7 @@ def _matches(facts: DataFrame, m: Match) -> DataFrame:
             out = out.where(F.col(name) == columns[t])
         else:
             columns[t] = F.col(name)
-    return out.select("session", *(c.alias(t) for t, c in columns.items())).distinct()
+    return out.select("session", *(c.alias(t) for t, c in columns.items()))
 
 
 def _fire(rule: Rule, facts: DataFrame, fresh: DataFrame, place: int) -> DataFrame:
@@ -144,22 +171,27 @@ def infer(facts: DataFrame, rules: list[Rule], most_rounds: int = 10_000) -> Dat
             out = out.union(p)
         return out
 
-    for group in strata(rules):
-        named = {m.p for r in group for m in r.when if not m.p.startswith("?")}
-        every = any(m.p.startswith("?") for r in group for m in r.when)
-        mine = lambda df, named=named, every=every: df if every else df.where(F.col("p").isin(sorted(named)))
-        fresh = everything = known()
+    for group, again in (p for s in strata(rules) for p in passes(s)):
+        group = [r for r in group if any(not m.negated for m in r.when)]
+        if not group:
+            continue
+        heads = sorted({p for r in group for _, p, _ in r.then})
+        fresh: DataFrame | None = None
         for _ in range(most_rounds):
-            made: DataFrame | None = None
+            everything, made = known(), None
             for r in group:
-                for place in range(sum(not m.negated for m in r.when)):
-                    own = _fire(r, mine(everything), mine(fresh), place)
+                positive = [m for m in r.when if not m.negated]
+                for place in [0] if fresh is None else [k for k, m in enumerate(positive) if m.p.startswith("?") or m.p in heads]:
+                    own = _fire(r, everything, everything if fresh is None else fresh, place)
                     made = own if made is None else made.union(own)
-            fresh = stored(full(made).join(everything, list(_FACT), "left_anti"), "inferred")
-            if fresh.isEmpty():
+            if made is None:
+                break
+            fresh = stored(full(made).join(everything.where(F.col("p").isin(heads)), list(_FACT), "left_anti"), "inferred")
+            if again and fresh.isEmpty():
                 break
             parts.append(fresh)
-            everything = known()
+            if not again:
+                break
         else:
             raise RuntimeError(f"rules still fire after {most_rounds} rounds")
     return known()

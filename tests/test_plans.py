@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import date
 
 import pytest
@@ -152,6 +153,46 @@ def test_rules_chain_negate_and_recur(spark):
         rules.strata(loop)
 
 
+def test_rules_run_once_unless_they_feed_themselves(spark, monkeypatch):
+    m, names = rules.Match, []
+    rule = lambda name, p, q, **more: rules.Rule(name, (m("?x", p, "?y"), m("?y", p, "?z")) if more.get("two") else (m("?x", p, "?y"),), (("?x", q, "?z" if more.get("two") else "?y"),))
+    group = [rule("last", "c", "d"), rule("chain", "b", "c"), rule("round", "c", "b"), rule("first", "a", "b"), rule("beside", "a", "e"), rule("any", "?p", "f")]
+    assert [([r.name for r in own], again) for own, again in rules.passes(group)] == [(["first", "beside"], False), (["chain", "round"], True), (["last"], False), (["any"], True)]
+    monkeypatch.setattr(rules, "stored", lambda df, name, f=rules.stored: names.append(name) or f(df, name))
+    facts = spark.createDataFrame([("1", "x", "a", "y"), ("1", "y", "a", "z"), ("2", "x", "a", "y"), ("1", "x", "c", "z")], "session string, s string, p string, o string")
+    got = sorted(tuple(r) for r in rules.infer(facts, [rule("third", "c", "d"), rule("first", "a", "b"), rule("second", "b", "c", two=True)]).collect())
+    want = [("1", "x", "a", "y"), ("1", "x", "b", "y"), ("1", "x", "c", "z"), ("1", "x", "d", "z"), ("1", "y", "a", "z"), ("1", "y", "b", "z"), ("2", "x", "a", "y"), ("2", "x", "b", "y")]
+    assert got == want and names == ["facts", "inferred", "inferred", "inferred"]
+
+
+def test_rules_equal_a_plain_fixpoint(spark):
+    """Joined, mutual, wildcard and negating rules over chance facts, beside a loop over all facts."""
+    m, rng = rules.Match, random.Random(6)
+    program = [
+        rules.Rule("path", (m("?a", "p", "?b"), m("?b", "path", "?c")), (("?a", "path", "?c"), ("?c", "back", "?a"))),
+        rules.Rule("start", (m("?a", "p", "?b"),), (("?a", "path", "?b"),)),
+        rules.Rule("self", (m("?a", "path", "?a"),), (("?a", "loop", "1"),)),
+        rules.Rule("even", (m("?a", "odd", "?b"), m("?b", "p", "?c")), (("?a", "even", "?c"),)),
+        rules.Rule("odd", (m("?a", "even", "?b"), m("?b", "p", "?c")), (("?a", "odd", "?c"),)),
+        rules.Rule("any", (m("?a", "?q", "3"),), (("?a", "near", "3"),)),
+        rules.Rule("not", (m("?a", "p", "?b"), m("?a", "back", "?b", negated=True), m("?b", "loop", "1", negated=True)), (("?a", "away", "?b"),)),
+    ]
+    facts = {(s, str(rng.randrange(7)), p, str(rng.randrange(7))) for s in "12" for p in ("p", "odd") for _ in range(4 if p == "p" else 2)} | {("1", "0", "path", "1")}
+    want = set(facts)
+    for group in rules.strata(program):
+        before = -1
+        while len(want) > before:
+            before = len(want)
+            for r in group:
+                found = [{}]
+                for a in (a for a in r.when if not a.negated):
+                    found = [{**e, **b} for e in found for s, *f in want if (b := {"session": s, **{t: v for t, v in zip((a.s, a.p, a.o), f, strict=True) if t[0] == "?"}}) and all(e.get(k, v) == v for k, v in b.items()) and all({**e, **b}.get(t, t) == v for t, v in zip((a.s, a.p, a.o), f, strict=True))]
+                found = [e for e in found if not any((e["session"], e.get(a.s, a.s), a.p, e.get(a.o, a.o)) in want for a in r.when if a.negated)]
+                want |= {(e["session"], e.get(s, s), p, e.get(o, o)) for e in found for s, p, o in r.then}
+    got = [tuple(r) for r in rules.infer(spark.createDataFrame([*facts, *facts], "session string, s string, p string, o string"), program).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {f[2] for f in want} >= {"path", "back", "even", "near", "away"}
+
+
 def test_reports_and_queries(spark):
     text = "--first; SELECT $X AS x;\n--second; SELECT 2 AS y"
     assert queries.report_statements(text) == {"first": "SELECT $X AS x", "second": "SELECT 2 AS y"}
