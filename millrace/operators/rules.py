@@ -215,7 +215,10 @@ def assert_records(df: DataFrame, session: str, key: str, class_name: str) -> Da
 
 def extract_entities(facts: DataFrame, class_name: str, properties: list[str], many: tuple[str, ...] = ()) -> DataFrame:
     """One row for each entity of a class; properties in ``many`` are sorted arrays, others their least value."""
-    own = facts.where((F.col("p") == "rdf:type") & (F.col("o") == class_name)).select("session", "s").distinct()
     value = lambda p: F.when(F.col("p") == p, F.col("o"))
     aggs = [(F.array_sort(F.collect_set(value(p))) if p in many else F.min(value(p))).alias(p) for p in properties]
-    return facts.join(own, ["session", "s"]).groupBy("session", "s").agg(*aggs)
+    member, own = "_member", facts.where(F.col("p").isin("rdf:type", *properties))
+    while member in (*properties, "session", "s"):
+        member += "_"
+    of_class = (F.col("p") == "rdf:type") & (F.col("o") == class_name)
+    return own.groupBy("session", "s").agg(F.max(of_class).alias(member), *aggs).where(F.col(member)).drop(member)

@@ -165,6 +165,14 @@ def test_rules_run_once_unless_they_feed_themselves(spark, monkeypatch):
     assert got == want and names == ["facts", "inferred", "inferred", "inferred"]
 
 
+def test_entities_are_extracted_without_a_join(spark):
+    rows = [("1", "x", "rdf:type", "A"), ("1", "x", "_member", "b"), ("1", "x", "_member", "a"), ("1", "y", "_member", "c"), ("1", "z", "rdf:type", "B"), ("1", "z", "other", "d"), ("2", "x", "rdf:type", "B"), ("2", "x", "rdf:type", "A")]
+    facts = spark.createDataFrame(rows, "session string, s string, p string, o string")
+    out = rules.extract_entities(facts, "A", ["_member", "rdf:type", "other"], ("rdf:type",))
+    assert sorted((tuple(r) for r in out.collect()), key=str) == [("1", "x", "a", ["A"], None), ("2", "x", None, ["A", "B"], None)]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rules_equal_a_plain_fixpoint(spark):
     """Joined, mutual, wildcard and negating rules over chance facts, beside a loop over all facts."""
     m, rng = rules.Match, random.Random(6)
