@@ -5,26 +5,30 @@ hashed to ``TERMS`` buckets.
 
 1. Document frequencies are counted over all documents.
 2. Items of over ``PIECE`` words are searched by pieces of so many words, each
-   overlapping half of the next, so no item is too long to be found. A
-   randomised SVD of TF-IDF pieces gives a latent space for every ``SPACE`` of
-   them: no more than it has directions, so each keeps its whole length however
-   many items there are. The space is made from the benchmark because its rare
-   terms are what retrieval needs; corpus passages would spend it on what all
-   texts share.
+   overlapping half of the next, so no item is too long to be found. A piece's
+   vector has its TF-IDF terms and, as one more term, its rarest run of ``RUN``
+   words (``MARK`` of its length; ``SHORT_MARK`` where the whole item is shorter
+   than that and is its own run). A randomised SVD of every ``SPACE`` pieces
+   gives a latent space, cut to the fewest leading directions that keep ``KEPT``
+   of all squared length; pieces that would keep less than ``EACH`` in it add
+   what they lose, so that none is lost however many there are. The space is made from the benchmark because its rare terms are
+   what retrieval needs; corpus passages would spend it on what all texts share.
 3. Every document is cut into windows of ``WINDOW`` words, each overlapping
-   half of the next, and projected. A window's cosine with a piece is taken
-   with its full TF-IDF length, so words outside the space count against it.
-   Windows whose cosine is ``LEAST_COSINE`` or more are candidates. Windows
-   that hold a piece's rarest run of ``RUN`` words are candidates too, so an
-   exact copy is one whatever stands around it.
+   half of the next, and projected, with the runs that it holds. It is measured
+   along a piece's latent vector, in units of its own full TF-IDF length, so
+   words outside the space count against it and runs don't count against each
+   other. Windows that reach ``LEAST_COSINE`` of what a piece's text has are
+   candidates; there are no others. As a run keeps at least ``MARK`` less the
+   root of what the space may lose, an exact copy is one whatever stands around
+   it.
 4. Each candidate is checked word by word: the longest common subsequence of
    the whole item and the text around the place where it would stand, for
    items of over ``LONG`` words summed over parts of so many. The item's answer
    is its last third. A document is contaminated when the subsequence covers
    ``COPY`` of the item, or ``PARAPHRASE`` of the item and ``ANSWER`` of its
    answer within a stretch not over twice the item's length.
-5. Items of fewer than ``RUN`` words, ``SHORTEST`` at least, are searched as
-   whole runs of words.
+5. Items of fewer than ``RUN`` words, ``SHORTEST`` at least, must stand in the
+   candidate as they are.
 
 The benchmark is taken in blocks of ``BLOCK`` pieces at most, with ``TERMS``
 vectors of terms at most in their spaces, so what is sent to tasks has a fixed
@@ -57,6 +61,7 @@ TERMS, DIMENSIONS, OVERSAMPLE, POWER = 1 << 16, 256, 16, 2
 WINDOW, STEP, BLOCK, SPACE = 32, 16, 2048, DIMENSIONS
 PIECE, RUN, SHORTEST, LONG = 64, 6, 3, 1024
 LEAST_COSINE, COPY, PARAPHRASE, ANSWER = 0.27, 0.85, 0.6, 0.6
+MARK, SHORT_MARK, KEPT, EACH = 0.8, 0.9, 0.8, 0.6
 
 
 def term(h: np.ndarray) -> np.ndarray:
@@ -89,7 +94,7 @@ def _tfidf(passage: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def latent_space(rows: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, dimensions: int = DIMENSIONS, seed: int = 5) -> np.ndarray:
-    """(terms, dimensions): leading right singular vectors of TF-IDF rows, by randomised subspace iteration."""
+    """(terms, dimensions): leading right singular vectors of rows of length 1, by randomised subspace iteration; the fewest that keep ``KEPT`` of all squared length, and directions of their own for rows that would keep less than ``EACH``."""
     m = np.zeros((len(rows), len(terms)), np.float32)
     for k, (own, w) in enumerate(rows):
         m[k, np.searchsorted(terms, own)] = w
@@ -98,7 +103,15 @@ def latent_space(rows: list[tuple[np.ndarray, np.ndarray]], terms: np.ndarray, d
         q, _ = np.linalg.qr(m.T @ (m @ q))
     z = m @ q
     values, vectors = np.linalg.eigh((z.T @ z).astype(np.float64))
-    return np.ascontiguousarray((q @ vectors[:, np.argsort(-values)[:dimensions]]).astype(np.float32))
+    basis = (q @ vectors[:, np.argsort(-values)[:dimensions]]).astype(np.float32)
+    kept = np.cumsum((m @ basis) ** 2, axis=1)
+    d = int(np.searchsorted(kept.mean(axis=0), KEPT)) + 1
+    basis = basis[:, :d]
+    lost = m[kept[:, min(d, kept.shape[1]) - 1] < EACH]
+    left = lost - (lost @ basis) @ basis.T
+    values, vectors = np.linalg.eigh((left @ left.T).astype(np.float64))
+    some = values > 1e-4
+    return np.ascontiguousarray(np.hstack([basis, left.T @ (vectors[:, some] / np.sqrt(values[some]))]).astype(np.float32))
 
 
 def run_hashes(h: np.ndarray, words: int = RUN) -> np.ndarray:
@@ -166,7 +179,7 @@ class Windows:
         self.starts = bounds[:-1][self.doc] + (np.arange(len(self.doc)) - self.first[self.doc]) * STEP
         self.last = np.ones(len(self.doc), bool)
         self.last[:-1] = self.doc[1:] != self.doc[:-1]
-        self.runs = run_hashes(h)
+        self.runs: dict[int, np.ndarray] = {}
         self.norm = self._lengths(square)
 
     def _lengths(self, square: np.ndarray) -> np.ndarray:
@@ -181,6 +194,22 @@ class Windows:
         own = key[edge]
         return np.sqrt(np.bincount(own // TERMS, n * n * square[own % TERMS], len(self.starts))).astype(np.float32) + 1e-9
 
+    def marked(self, words: int, table: np.ndarray) -> np.ndarray:
+        """(window, place in the sorted table of hashes), sorted: the window in whose first half a run of so many words begins."""
+        if words not in self.runs:
+            self.runs[words] = run_hashes(self.h, words)
+        place, k = _equal(table, self.runs[words])
+        doc = np.searchsorted(self.bounds, place, "right") - 1
+        keep = place + words <= self.bounds[doc + 1]
+        place, doc, k = place[keep], doc[keep], k[keep]
+        return np.unique(np.stack([self.first[doc] + (place - self.bounds[doc]) // STEP, k], 1), axis=0)
+
+    def holds(self, window: int, item: np.ndarray) -> bool:
+        """Whether a short item begins in the first half of the window."""
+        at, n = int(self.starts[window]), len(item)
+        own = self.h[at : min(at + STEP + n - 1, int(self.bounds[self.doc[window] + 1]))]
+        return bool((run_hashes(own, n) == run_hashes(item, n)[0]).any())
+
     def around(self, window: int, n: int, offset: int) -> tuple[int, int, np.ndarray]:
         """Where an item of ``n`` words would begin if the window lies in its piece at ``offset``, the words there, half an item more on each side, and where it begins in these."""
         d, at = self.doc[window], int(self.starts[window])
@@ -210,46 +239,49 @@ class Searcher:
     def __init__(self, rows: list[tuple[int, int, np.ndarray]], idf: np.ndarray) -> None:
         """rows: item, offset and words of each piece."""
         self.item, self.offset = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-        weighted = [_tfidf(term(h), idf) for _, _, h in rows]
+        runs = [self._run(h, idf) for _, _, h in rows]
+        number = {r: TERMS + k for k, r in enumerate(sorted(set(runs)))}
+        weighted = []
+        for (_, _, h), r in zip(rows, runs, strict=True):
+            own, w = _tfidf(term(h), idf)
+            mark = MARK if len(h) >= RUN else SHORT_MARK
+            weighted.append((np.append(own, number[r]), np.append(w * np.sqrt(1 - mark * mark), mark)))
         terms = np.unique(np.concatenate([own for own, _ in weighted]))
         basis = latent_space(weighted, terms)
-        self.table = basis * idf[terms, None].astype(np.float32)
-        self.row = np.full(TERMS, -1, np.int32)
-        self.row[terms] = np.arange(len(terms))
-        z = np.array([w.astype(np.float32) @ basis[self.row[own]] for own, w in weighted], np.float32)
+        z = np.array([w.astype(np.float32) @ basis[np.searchsorted(terms, own)] for own, w in weighted], np.float32)
         self.vectors = z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-        runs = []
-        for _, _, h in rows:
-            weight = np.convolve(idf[term(h)], np.ones(RUN), "valid")
-            at = int(np.argmax(weight))
-            runs.append(run_hashes(h[at : at + RUN])[0])
-        self.order = np.argsort(np.array(runs, np.uint64), kind="stable")
-        self.runs = np.array(runs, np.uint64)[self.order]
+        words = terms[terms < TERMS]
+        self.table = basis[: len(words)] * idf[words, None].astype(np.float32)
+        self.row = np.full(TERMS, -1, np.int32)
+        self.row[words] = np.arange(len(words))
+        self.runs = {n: (np.array([h for k, h in number if k == n], np.uint64), basis[len(words) :][[k for k, r in enumerate(number) if r[0] == n]]) for n in {k for k, _ in number}}
+
+    @staticmethod
+    def _run(h: np.ndarray, idf: np.ndarray) -> tuple[int, int]:
+        """Length and hash of a piece's rarest run."""
+        n = min(RUN, len(h))
+        at = int(np.argmax(np.convolve(idf[term(h)], np.ones(n), "valid")))
+        return n, int(run_hashes(h[at : at + n], n)[0])
 
     def candidates(self, own: Windows) -> Iterator[Candidate]:
-        """Windows near a piece, or with its rarest run."""
+        """Windows near a piece."""
         if not len(own.doc):
             return
         sums = self._blocks(self.row[own.t], own.starts)
         z = sums.copy()
         z[:-1][~own.last[:-1]] += sums[1:][~own.last[:-1]]
         z /= own.norm[:, None]
-        exact = self._with_runs(own)
+        length = np.ones(len(z))
+        for words, (table, vectors) in self.runs.items():
+            at = own.marked(words, table)
+            np.add.at(z, at[:, 0], vectors[at[:, 1]])
+            np.add.at(length, at[:, 0], 1)
+        length = np.sqrt(length)
+        least = LEAST_COSINE * np.sqrt(1 - MARK * MARK)
         for at in range(0, len(z), 4096):
-            cosines = z[at : at + 4096] @ self.vectors.T
-            near = cosines >= LEAST_COSINE
-            more = exact[np.searchsorted(exact[:, 0], at) : np.searchsorted(exact[:, 0], at + 4096)]
-            near[more[:, 0] - at, more[:, 1]] = True
-            for w, k in zip(*np.nonzero(near), strict=True):
-                yield int(own.doc[at + w]), int(self.item[k]), int(at + w), float(cosines[w, k]), int(self.offset[k])
-
-    def _with_runs(self, own: Windows) -> np.ndarray:
-        """(window, piece), sorted: the window in whose first half a piece's rarest run begins."""
-        place, piece = _equal(self.runs, own.runs)
-        doc = np.searchsorted(own.bounds, place, "right") - 1
-        keep = place + RUN <= own.bounds[doc + 1]
-        place, doc, piece = place[keep], doc[keep], self.order[piece[keep]]
-        return np.unique(np.stack([own.first[doc] + (place - own.bounds[doc]) // STEP, piece], 1), axis=0)
+            along = z[at : at + 4096] @ self.vectors.T
+            for w, k in zip(*np.nonzero(along >= least), strict=True):
+                yield int(own.doc[at + w]), int(self.item[k]), int(at + w), float(along[w, k] / length[at + w]), int(self.offset[k])
 
     def _blocks(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Summed vectors of the words of each block; words without a vector add nothing."""
@@ -270,23 +302,19 @@ class Searcher:
 
 
 class Block:
-    """The items of one pass over the documents: searchers of their pieces, and the runs of short ones."""
+    """The items of one pass over the documents, and searchers of their pieces."""
 
     def __init__(self) -> None:
         self.items: list[tuple[object, np.ndarray]] = []
         self.searchers: list[Searcher] = []
         self.waiting: list[tuple[int, int, np.ndarray]] = []
         self.size = self.terms = 0
-        self.short: dict[int, list[tuple[int, int]]] = {}
 
     def add(self, item: object, h: np.ndarray, idf: np.ndarray) -> bool:
         """Takes an item; whether there is room for more."""
         k = len(self.items)
         self.items.append((item, h))
-        if len(h) < RUN:
-            self.short.setdefault(len(h), []).append((int(run_hashes(h, len(h))[0]), k))
-            self.size += 1
-        for at in pieces(len(h)) if len(h) >= RUN else ():
+        for at in pieces(len(h)):
             self.waiting.append((k, at, h[at : at + PIECE]))
             if len(self.waiting) == SPACE:
                 self.close(idf)
@@ -307,6 +335,11 @@ class Block:
         found = {}
         for (d, k), where in places.items():
             best, h, begun = (0.0, 0.0, 0.0), self.items[k][1], []
+            if len(h) < RUN:
+                near = [cosine for cosine, w, _ in where if own.holds(w, h)]
+                if near:
+                    found[d, k] = (1.0, 1.0, max(near))
+                continue
             for cosine, w, offset in sorted(where, key=lambda c: (-c[0], c[1], c[2])):
                 begin, within, around = own.around(w, len(h), offset)
                 if len(h) > 2 * PIECE:  # places a quarter of a long item apart are compared once
@@ -318,12 +351,6 @@ class Block:
                     best = (covered, answer, cosine)
             if best[0]:
                 found[d, k] = best
-        for words, rows in self.short.items():
-            rows = sorted(rows)
-            place, at = _equal(np.array([r[0] for r in rows], np.uint64), run_hashes(own.h, words))
-            doc = np.searchsorted(own.bounds, place, "right") - 1
-            for d, j in zip(doc[place + words <= own.bounds[doc + 1]], at[place + words <= own.bounds[doc + 1]], strict=True):
-                found[int(d), rows[j][1]] = (1.0, 1.0, 1.0)
         return [(d, k, cosine, covered, answer) for (d, k), (covered, answer, cosine) in sorted(found.items())]
 
 

@@ -152,6 +152,31 @@ def test_an_item_longer_than_a_part(spark):
     assert found.keys() == {1, 2} and found[1] == 1
 
 
+def test_the_latent_space_is_cut_and_loses_no_row():
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(90):
+        own = np.unique(np.append(rng.choice(400, 20, replace=False), 400 + k))
+        w = rng.random(len(own)) + 0.1
+        rows.append((own, w / np.linalg.norm(w)))
+    terms = np.unique(np.concatenate([own for own, _ in rows]))
+    basis = decontam.latent_space(rows, terms)
+    m = np.zeros((len(rows), len(terms)))
+    for k, (own, w) in enumerate(rows):
+        m[k, np.searchsorted(terms, own)] = w
+    kept = ((m @ basis) ** 2).sum(1)
+    assert basis.shape[1] < len(rows) and kept.min() >= decontam.EACH - 1e-4 and kept.mean() >= decontam.KEPT - 1e-4
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-3)
+
+
+def test_candidates_come_through_the_latent_space_only(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "x a short item y"), (3, "other words")], "doc_id long, text string")
+    b = spark.createDataFrame([(7, "two three four five six seven eight nine"), (8, "a short item")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(d, b).collect()} == {(1, 7), (2, 8)}
+    monkeypatch.setattr(decontam, "latent_space", lambda rows, terms: np.zeros((len(terms), 2), np.float32))
+    assert decontam.contaminated(d, b).count() == 0
+
+
 def test_decontamination_with_clashing_names(spark):
     d = spark.createDataFrame([(1, "one two three four five six seven", "a"), (2, "other words", "b"), (None, "x", "c")], "`doc.id` long, text string, hit string")
     b = spark.createDataFrame([(7, "two three four")], "item_id long, text string")
