@@ -40,6 +40,8 @@ for _k, _own in enumerate((b" \t\r\x0b\x0c", b"\n", bytes([*range(97, 123), *ran
     _CLASS[list(_own)] = _k
 _N = 10
 TERMS = _N**3 + 2
+#: Bytes of text and texts counted at once: each text has ``TERMS`` numbers, however short.
+SLICE, ROWS = 1 << 20, 512
 
 
 def term_counts(texts: pa.Array) -> np.ndarray:
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         kind = None
         for whole in batches:
             kind = whole.column(id).type
-            for b in slices(whole, text):
+            for b in slices(whole, text, SLICE, ROWS):
                 counts = term_counts(b.column(text))
                 df[:-1] += (counts > 0).sum(0)
                 df[-1] += len(b)
@@ -142,7 +144,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, text):
+            for b in slices(whole, text, SLICE, ROWS):
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(model.score(term_counts(b.column(text))))], [*keep, name])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"`{name}` double"
@@ -156,7 +158,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", least: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, at):
+            for b in slices(whole, at, SLICE, ROWS):
                 yield b.filter(pa.array(model.score(term_counts(b.column(at))) >= least))
 
     return own.mapInArrow(run, own.schema).toDF(*docs.columns)

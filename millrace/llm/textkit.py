@@ -56,8 +56,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about ``most`` bytes of text each; a longer text stands alone."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of ``rows`` rows at most with about ``most`` bytes of text each; a longer text stands alone."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     if not len(lengths):
         return
@@ -65,7 +65,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) ->
     at = 0
     while at < len(lengths):
         before = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
+        to = min(max(at + 1, int(np.searchsorted(total, before + most, "right"))), at + rows)
         yield batch.slice(at, to - at)
         at = to
 

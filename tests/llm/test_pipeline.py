@@ -92,6 +92,19 @@ def test_stages_keep_columns_of_any_name(spark):
     assert 0 < docs.where("_text = source AND hit = lang AND id = doc_id AND copy = doc_id AND score = 1").count() == docs.count() < rows
 
 
+def test_texts_come_in_batches_of_bounded_bytes(spark):
+    import pyarrow as pa
+
+    docs = spark.range(0, 12000, 1, 1).selectExpr("id AS doc_id", "repeat('abcd ', 400) AS text", "'en' AS lang", "'s' AS source", "2000L AS n_chars")
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    corpus_pipeline.redact_secrets(spark, docs, SF)
+    assert max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * corpus_pipeline.BATCH
+    spark.conf.set(corpus_pipeline._BATCH, 1 << 20)
+    corpus_pipeline.redact_secrets(spark, docs, SF)
+    assert spark.conf.get(corpus_pipeline._BATCH) == str(1 << 20)
+    spark.conf.unset(corpus_pipeline._BATCH)
+
+
 def test_registered():
     import __spark_entry__ as entry
 

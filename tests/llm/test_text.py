@@ -27,6 +27,8 @@ def test_slices_keep_all_rows(odd_texts):
     parts = list(slices(batch, most=100_000))
     assert [x for p in parts for x in p.column(0).to_pylist()] == odd_texts and len(parts) > 2
     assert list(slices(batch.slice(0, 0))) == []
+    few = list(slices(batch, rows=3))
+    assert [x for p in few for x in p.column(0).to_pylist()] == odd_texts and max(map(len, few)) == 3
 
 
 def test_word_ids_equal_the_tokenizers(odd_texts):
