@@ -48,6 +48,16 @@ def test_contaminated_documents_leave(spark, stages):
     assert ids(stages[3]) == ids(stages[2]) - bad
 
 
+def test_the_benchmark_stage_depends_on_the_latent_space(spark, stages, monkeypatch):
+    import numpy as np
+
+    kept, all_ids = ids(stages[3]), ids(stages[1])
+    bench = corpus_pipeline.remove_benchmark(spark, stages[1], SF)
+    assert ids(bench) < all_ids and kept <= ids(bench)
+    monkeypatch.setattr(decontam, "latent_space", lambda rows, terms: np.zeros((len(terms), 2), np.float32))
+    assert ids(corpus_pipeline.remove_benchmark(spark, stages[1], SF)) == all_ids
+
+
 def test_secrets_are_redacted(stages):
     before, after = ({r["doc_id"]: r for r in s.collect()} for s in stages[3:5])
     assert before.keys() == after.keys()
