@@ -51,12 +51,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import stars
 from .tables import drop, stored
 from .textkit import mix, slices, word_hashes
 
@@ -199,15 +200,14 @@ def bitmap(ids: DataFrame, id: str, bits: int) -> np.ndarray:
     """A bitmap of the ids' hashes, in 64-bit words."""
     h = F.pmod(F.xxhash64(id), F.lit(bits))
     words = ids.select(F.shiftright(h, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(`{id}`), {bits}) & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    out = np.zeros(bits >> 6, np.int64)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["bits"]
+    out, found = np.zeros(bits >> 6, np.int64), words.toArrow()
+    out[found["w"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
 def _sets(docs: DataFrame, id: str, text: str, keys: DataFrame) -> DataFrame:
     """(key, elements) of the texts whose ids are in ``keys`` (id, key), and of a few more."""
-    size = max(1 << 16, 1 << (SPARE * keys.count()).bit_length())
+    size = max(1 << 16, 1 << (SPARE * keys.agg(F.approx_count_distinct("key")).first()[0]).bit_length())
     bits = bitmap(keys, id, size) if size <= BITMAP else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,18 +226,21 @@ def _sets(docs: DataFrame, id: str, text: str, keys: DataFrame) -> DataFrame:
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``pairs`` with what their sketches say: whether they may be linked, and how far apart they are at least."""
+    """``pairs`` with what their sketches say: whether they may be linked, and how far apart they are at least; and the first ids of those that may be."""
+    kind = classes.schema["first"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(c)), np.uint8).reshape(len(b), SKETCH // 8) for c in ("x", "y"))
             apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             both = b.column("na").to_numpy() + b.column("nb").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(9 * apart <= both), pa.array((np.floor(2000 * apart / (both + apart)) / 1000).astype(np.float32))], ["a", "b", "likely", "apart"])
+            likely = pa.array(9 * apart <= both)
+            firsts = [pc.if_else(likely, b.column(c), pa.scalar(None, b.column(c).type)) for c in ("fa", "fb")]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), likely, pa.array((np.floor(2000 * apart / (both + apart)) / 1000).astype(np.float32)), *firsts], ["a", "b", "likely", "apart", "fa", "fb"])
 
-    for own, other, n in (("a", "x", "na"), ("b", "y", "nb")):
-        pairs = pairs.join(classes.select(F.col("key").alias(own), F.col("sketch").alias(other), F.col("n").alias(n)), own)
-    return pairs.mapInArrow(run, "a long, b long, likely boolean, apart float")
+    for own, other, n, first in (("a", "x", "na", "fa"), ("b", "y", "nb", "fb")):
+        pairs = pairs.join(classes.select(F.col("key").alias(own), F.col("sketch").alias(other), F.col("n").alias(n), F.col("first").alias(first)), own)
+    return pairs.mapInArrow(run, f"a long, b long, likely boolean, apart float, fa {kind}, fb {kind}")
 
 
 def _underived(pairs: DataFrame, links: DataFrame, compared: DataFrame) -> DataFrame:
@@ -249,10 +252,10 @@ def _underived(pairs: DataFrame, links: DataFrame, compared: DataFrame) -> DataF
     return pairs.join(known.where("far - near > 0.2 + 1e-6").select("a", "b").distinct(), ["a", "b"], "left_anti")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: keys) whose sets' Jaccard similarity is 0.8 or more, and their distance, stored."""
-    own = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    keys = stored(own.join(classes, "key").select(F.col("first").alias(id), "key"), "pair-keys")
+def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str) -> DataFrame:
+    """Those of ``pairs`` (a, b: keys; fa, fb: their first ids) whose sets' Jaccard similarity is 0.8 or more, and their distance, stored."""
+    ends = F.array(*(F.struct(F.col(first).alias(id), F.col(key).alias("key")) for first, key in (("fa", "a"), ("fb", "b"))))
+    keys = pairs.select(F.explode(ends).alias("e")).select("e.*")
     sets = stored(_sets(docs, id, text, keys), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,10 +270,10 @@ def _linked(pairs: DataFrame, docs: DataFrame, id: str, text: str, classes: Data
                 apart.append(1 - both / union)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(apart, pa.float64())], ["a", "b", "apart"]).filter(pa.array(keep, pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a")
+    with_a = pairs.select("a", "b").join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a")
     with_b = with_a.join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
     out = stored(with_b.mapInArrow(run, "a long, b long, apart double").distinct(), "links")
-    drop(docs.sparkSession, keys, sets)
+    drop(docs.sparkSession, sets)
     return out
 
 
@@ -342,9 +345,13 @@ def similar_classes(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         compared = stored(_sketched(left, classes), "compared")
         drop(spark, pairs)
         done = compared if done is None else done.union(compared)
-        more = _linked(compared.where("likely").select("a", "b"), docs, id, text, classes)
+        more = _linked(compared.where("likely"), docs, id, text)
         links = more if links is None else links.union(more)
-        found = stored(components(links), "components")
+        # New links join the stars that are known.
+        known = found
+        found = stars(more if known is None else more.select("a", "b").union(known))
+        if known is not None:
+            drop(spark, known)
     drop(spark, *spent)
     component = F.coalesce("component", "key")
     if found is None:

@@ -105,3 +105,44 @@ def test_known_distances_rule_pairs_out(spark):
     links = spark.createDataFrame([(1, 9, 0.05)], "a long, b long, apart double")
     compared = spark.createDataFrame([(2, 9, 0.4), (3, 9, 0.22), (1, 9, 0.04)], "a long, b long, apart double")
     assert sorted(tuple(r) for r in ngram_join._underived(pairs, links, compared).collect()) == [(1, 3), (2, 4)]
+
+
+def test_components_of_random_links_take_few_tables(spark, monkeypatch):
+    from millrace.llm import components as module
+
+    tables, stored = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: tables.append(name) or stored(df, name))
+    rng = random.Random(3)
+    for chunk, links, most in (
+        (1_000_000, [(1, k) for k in range(2, 300)] + [(400, k) for k in range(401, 500)], 1),  # stars of their least nodes
+        (1_000_000, [(k, 900) for k in range(300)], 3),  # of the largest
+        (5, [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(k, 999) for k in range(500, 600)], 11),
+        (3, [(k, k + 1) for k in range(1000, 1200)], 15),
+    ):
+        monkeypatch.setattr(module, "CHUNK", chunk)
+        tables.clear()
+        root: dict[int, int] = {}
+
+        def find(x, root=root):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in links:
+            if a != b:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+        got = [tuple(r) for r in components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()]
+        assert sorted(got) == sorted((x, find(x)) for x in list(root))
+        assert len(tables) <= most, (len(tables), most)
+
+
+def test_the_text_filter_is_read_in_one_job(spark):
+    ids = spark.range(0, 100_000, 7, 5)
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("filter", "")
+    words = ngram_join.bitmap(ids, "id", 1 << 20)
+    jobs = seen.getJobIdsForGroup("filter")
+    spark.sparkContext.setJobGroup("", "")
+    h = [r[0] for r in ids.selectExpr("pmod(xxhash64(id), 1048576)").collect()]
+    assert all(int(words[x >> 6]) >> (x & 63) & 1 for x in h)
+    assert sum(int(w).bit_count() for w in words) == len(set(h)) and len(jobs) <= 2
